@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .sharding import op6_jump_sharding
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op6_jump_sharding": op6_jump_sharding,
 }
 ORACLE = {
     "op1_url_filter": OP1_SQL,
