@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .mixing import op2_mix
 from .sharding import op6_jump_sharding
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_mix": op2_mix,
     "op6_jump_sharding": op6_jump_sharding,
 }
 ORACLE = {
