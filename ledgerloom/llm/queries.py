@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import op2_mix
+from .packing import op10_best_fit_packing
 from .sharding import op6_jump_sharding
 from .url_filter import OP1_SQL, op1_url_filter
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix": op2_mix,
     "op6_jump_sharding": op6_jump_sharding,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE = {
     "op1_url_filter": OP1_SQL,
