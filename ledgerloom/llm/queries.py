@@ -6,11 +6,13 @@ from .mixing import op2_mix
 from .packing import op10_best_fit_packing
 from .sharding import op6_jump_sharding
 from .url_filter import OP1_SQL, op1_url_filter
+from .warc import op8_warc
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix": op2_mix,
     "op6_jump_sharding": op6_jump_sharding,
+    "op8_warc": op8_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE = {
