@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language_id import op3_language_id
 from .mixing import op2_mix
 from .packing import op10_best_fit_packing
 from .sharding import op6_jump_sharding
@@ -11,6 +12,7 @@ from .warc import op8_warc
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix": op2_mix,
+    "op3_language_id": op3_language_id,
     "op6_jump_sharding": op6_jump_sharding,
     "op8_warc": op8_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
