@@ -27,7 +27,7 @@ SIZES = (3, 4, 5)
 BUCKET_BITS = 17
 #: The classifier is fitted on about so many labelled documents of each class, chosen by hash.
 SAMPLE_DOCS = 1_500
-DIM, EPOCHS, BATCH, RATE, SEED = 8, 8, 64, 0.2, 7
+DIM, EPOCHS, MIN_STEPS, BATCH, RATE, SEED = 8, 8, 200, 64, 0.2, 7
 #: Averages are multiplied by this before the softmax: a few toxic words are a small share of a text.
 SCALE = 20.0
 #: Scores are calibrated so that a text is predicted toxic from here on.
@@ -77,9 +77,10 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
         odds = np.log(np.clip(prior, 1e-4, 1 - 1e-4) / (1 - np.clip(prior, 1e-4, 1 - 1e-4)))
         return Model(np.zeros(buckets, np.float32), 0.0, float(odds))
     y = labels.astype(float)
-    fold = np.arange(len(docs)) % 2
+    folds = 2 if len(docs) > 1000 else 4
+    fold = np.arange(len(docs)) % folds
     raw = np.zeros(len(docs))
-    for k in range(2):  # log odds of texts that a model hasn't seen, for the calibration
+    for k in range(folds):  # log odds of texts that a model hasn't seen, for the calibration
         own = fold == k
         w, b = _fit([docs[i] for i in np.flatnonzero(~own)], y[~own], np.random.default_rng(SEED))
         raw[own] = [w[i] @ s for i, s in (docs[j] for j in np.flatnonzero(own))]
@@ -97,7 +98,8 @@ def _fit(docs, y, rng) -> tuple[np.ndarray, float]:
     v = rng.normal(0, 0.1, (2, DIM))
     bias = np.zeros(2)
     sum_e, sum_v, sum_b = np.full(len(used), 1e-8), np.full((2, DIM), 1e-8), np.full(2, 1e-8)
-    for _ in range(EPOCHS):
+    batches = -(-len(docs) // BATCH)
+    for _ in range(max(EPOCHS, -(-MIN_STEPS // batches))):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
@@ -147,7 +149,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, _ = features([text or ""])
             used, count = np.unique(bucket, return_counts=True)
             share = (count / max(1, len(bucket))).astype(np.float32)
-            row = [pa.array([x]) for x in (batch.column("toxic")[i].as_py(), used.astype(np.int32).tobytes(), share.tobytes())]
+            row = [pa.array([batch.column("toxic")[i].as_py()], pa.int32()), pa.array([used.astype(np.int32).tobytes()]), pa.array([share.tobytes()])]
             yield pa.RecordBatch.from_arrays(row, ["toxic", "buckets", "shares"])
 
 
