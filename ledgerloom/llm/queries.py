@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprints import op5_fingerprints
 from .language_id import op3_language_id
 from .mixing import op2_mix
 from .packing import op10_best_fit_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix": op2_mix,
     "op3_language_id": op3_language_id,
+    "op5_fingerprints": op5_fingerprints,
     "op6_jump_sharding": op6_jump_sharding,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
