@@ -7,6 +7,7 @@ from .language_id import op3_language_id
 from .mixing import op2_mix
 from .packing import op10_best_fit_packing
 from .sharding import op6_jump_sharding
+from .topk import OP7_SQL, op7_top_k
 from .toxicity import op9_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 from .warc import op8_warc
@@ -17,10 +18,12 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_fingerprints": op5_fingerprints,
     "op6_jump_sharding": op6_jump_sharding,
+    "op7_top_k": op7_top_k,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE = {
     "op1_url_filter": OP1_SQL,
+    "op7_top_k": OP7_SQL,
 }
