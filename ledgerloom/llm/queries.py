@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fingerprints import op5_fingerprints
 from .language_id import op3_language_id
 from .mixing import op2_mix
+from .near_dup import op4_near_duplicates
 from .packing import op10_best_fit_packing
 from .sharding import op6_jump_sharding
 from .topk import OP7_SQL, op7_top_k
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix": op2_mix,
     "op3_language_id": op3_language_id,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_fingerprints": op5_fingerprints,
     "op6_jump_sharding": op6_jump_sharding,
     "op7_top_k": op7_top_k,
