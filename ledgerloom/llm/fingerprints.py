@@ -156,27 +156,33 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tables = Tables(spark)
     least = -(1 << 63)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # No doc_id here: both sides of the join below then read one and the same shuffle of the texts.
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     # Widths alone first: the ring of ids, and how much of each text its predecessor wants.
     widths = tables.write(base.groupBy("id").agg(F.max(F.length("text")).alias("most"), F.count("*").alias("rows")), "widths")
     repeats = bool(widths.where("rows > 1").take(1))
     ring = neighbours(widths.select("id"), spark)
-    wanted = ring.join(widths.select(F.col("id").alias("pid"), F.floor(F.col("most") / 2).alias("half")), F.col("prev") == F.col("pid")).drop("pid")
+    wanted = ring.join(widths.select(F.col("id").alias("pid"), F.floor(F.col("most") / 2).cast("int").alias("half")), F.col("prev") == F.col("pid")).drop("pid")
     wanted = tables.write(wanted.select(F.col("id").alias("wid"), "prev", "half"), "wanted")
     own = base.join(wanted, F.col("id") == F.col("wid")).drop("wid")
-    fp = own.withColumn("fp", fingerprint(F.col("text")))
-    heads = fp.select("prev", F.col("text").substr(F.lit(1), F.greatest(F.col("half"), F.lit(0)).cast("int")).alias("head"), F.col("fp").alias("next_fp"))
+    heads = own.select(F.col("prev").alias("hid"), F.col("text").substr(F.lit(1), F.col("half")).alias("head"))
     if repeats:
-        whole = fp.groupBy("prev", "half").agg(F.min(F.struct("text", "fp")).alias("x"))
-        heads = whole.select("prev", F.col("x.text").substr(F.lit(1), F.col("half").cast("int")).alias("head"), F.col("x.fp").alias("next_fp"))
-    heads = heads.withColumnRenamed("prev", "hid")
-    both = fp.drop("half", "prev").join(heads, F.col("id") == F.col("hid"))
+        heads = own.groupBy("prev", "half").agg(F.min("text").alias("t")).select(F.col("prev").alias("hid"), F.col("t").substr(F.lit(1), F.col("half")).alias("head"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("head").substr(F.lit(1), half))
-    done = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp").withColumn("efp", fingerprint(F.col("edited")))
+    both = own.drop("half").join(heads, F.col("id") == F.col("hid")).select("id", "prev", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    made = both.select(
+        "id", "prev", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("efp"),
+        F.when(F.lit(repeats), F.col("text")).alias("order"),
+    )
+    made = tables.write(made, "fingerprints")
+    nexts = made.select(F.col("prev").alias("hid"), F.col("fp").alias("next_fp"))
+    if repeats:
+        nexts = made.groupBy("prev").agg(F.min(F.struct("order", "fp")).alias("x")).select(F.col("prev").alias("hid"), F.col("x.fp").alias("next_fp"))
+    done = made.join(nexts, F.col("id") == F.col("hid"))
     return done.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        F.when(F.col("id") != least, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
         to_string(F.col("fp")).alias("fingerprint"), to_string(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
