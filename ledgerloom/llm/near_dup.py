@@ -31,14 +31,12 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LEVELS = 1.0005, 20.0, 65_534
 #: Links have 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Pairs estimated below this are not verified: seven standard errors of the estimate under the threshold.
-LEAST_ESTIMATE = 0.5
+#: Pairs estimated below this are not verified: five standard errors of the estimate under the threshold.
+LEAST_ESTIMATE = 0.58
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Members that one task compares at a time, or verifies against one class.
-BLOCK = 256
-#: Best candidates for each member and other component, round by round; None: all.
-PARTNERS = (4, 32, None)
+BLOCK = 512
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, REGISTERS + 1, dtype=np.uint64) * _G
@@ -193,6 +191,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents in ids (column id)."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     """The pairs (a, b) that link on their full sets, as a table.
 
@@ -207,66 +211,84 @@ def _verify(pairs: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     owners = groups.select(F.col("a").alias("id"), F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
     wanted = members.unionByName(owners)
     ids = tables.write(wanted.select("id").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
-    rows = wanted.join(texts, F.col("id") == F.col("doc_id")).select("g", "salt", "member", "text")
+    rows = wanted.join(_texts_of(docs, ids), F.col("id") == F.col("doc_id")).select("g", "salt", "member", "text")
     dealt = rows.repartition(F.col("g"), F.col("salt")).sortWithinPartitions("g", "salt", F.col("member").asc_nulls_first())
     return tables.write(dealt.mapInArrow(_compare, "a long, b long"), "links")
 
 
-def _cross(limit: int | None):
-    """For each group of band members: likely pairs across components, the best ``limit`` for a member and component."""
-
-    def pairs(g: dict[str, np.ndarray]) -> tuple[list, list, bool]:
-        n, ids, comp, size, reg = len(g["id"]), g["id"], g["c"], g["n"].astype(float), g["sketch"]
-        left = np.flatnonzero(g["bi"] == g["x"])
-        right = np.flatnonzero(g["bi"] == g["y"])
-        a, b, more = [], [], False
-        for i in left:
-            js = right[(ids[right] > ids[i])] if g["x"][0] == g["y"][0] else right
-            js = js[(comp[js] != comp[i]) & (np.minimum(size[js], size[i]) * 100 >= np.maximum(size[js], size[i]) * THRESHOLD)]
-            js = js[(ids[js] != g["rep"][0])] if ids[i] != g["rep"][0] else js[:0]
-            if not len(js):
-                continue
-            est = estimate(np.broadcast_to(reg[i], (len(js), REGISTERS)), reg[js], np.full(len(js), size[i]), size[js])
-            js, est = js[est >= LEAST_ESTIMATE], est[est >= LEAST_ESTIMATE]
-            if limit is not None and len(js) > limit:
-                order = np.lexsort((ids[js], -est, comp[js]))
-                js = js[order]
-                start = np.concatenate([[0], np.flatnonzero(np.diff(comp[js])) + 1])
-                rank = np.arange(len(js)) - np.repeat(start, np.diff(np.append(start, len(js))))
-                more = more or bool((rank >= limit).any())
-                js = js[rank < limit]
-            a += [int(min(ids[i], ids[j])) for j in js]
-            b += [int(max(ids[i], ids[j])) for j in js]
-        return a, b, more or n < 0
+def _first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which registers a share all of their rows with each row of b; BANDS if none."""
+    same = (a.reshape(BANDS, ROWS)[None] == b.reshape(-1, BANDS, ROWS)).all(2)
+    return np.where(same.any(1), same.argmax(1), BANDS)
 
-    names = ["key", "x", "y", "bi", "id", "c", "rep", "n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None
 
-        def emit(g: dict[str, np.ndarray]):
-            a, b, more = pairs(g)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([more] * len(a))], ["a", "b", "more"])
+def _link_group(g: dict, emit: list) -> None:
+    """Links between components among the members of one block pair of a band; one for each pair of components.
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = {c: np.asarray(batch.column(c)) for c in names} | {"sketch": _registers(batch.column("sketch"))}
+    A pair is compared in the first band that it shares, and not if one of it
+    is the band's least class, with which all others were compared before.
+    """
+    ids, comp, size, reg, sets = g["id"], g["c"], g["n"].astype(float), g["sketch"], g["sets"]
+    left, right = np.flatnonzero(g["bi"] == g["x"]), np.flatnonzero(g["bi"] == g["y"])
+    key = np.int64(g["key"][0]).view(np.uint64)
+    band = int(np.argmax(band_keys(reg[:1])[0] == key))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    rep, one_block = g["rep"][0], g["x"][0] == g["y"][0]
+    for i in left:
+        if ids[i] == rep:
+            continue
+        js = right[ids[right] > ids[i]] if one_block else right
+        js = js[(comp[js] != comp[i]) & (ids[js] != rep) & (np.minimum(size[js], size[i]) * 100 >= np.maximum(size[js], size[i]) * THRESHOLD)]
+        if len(js):
+            js = js[_first_band(reg[i], reg[js]) == band]
+        if len(js):
+            est = estimate(np.broadcast_to(reg[i], (len(js), REGISTERS)), reg[js], np.full(len(js), size[i]), size[js])
+            js = js[est >= LEAST_ESTIMATE]
+        js = js[[root(int(comp[j])) != root(int(comp[i])) for j in js]] if len(js) else js
+        if not len(js):
+            continue
+        lengths = [len(sets[j]) for j in js]
+        every = np.concatenate([sets[j] for j in js])
+        place = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+        common = np.add.reduceat(sets[i][place] == every, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+        for j, k in zip(js, common, strict=True):
+            if 100 * int(k) >= THRESHOLD * (len(sets[i]) + len(sets[j]) - int(k)):
+                ci, cj = root(int(comp[i])), root(int(comp[j]))
+                if ci != cj:
+                    parent[max(ci, cj)] = min(ci, cj)
+                    emit.append((int(ids[i]), int(ids[j])))
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of key, x, y: links across components, verified on the full sets where they are found."""
+    names = ["key", "x", "y", "bi", "id", "c", "rep", "n"]
+    rest: dict | None = None
+    for batch in batches:
+        for first, texts in text_blocks(batch.column("text")):
+            part = batch.slice(first, len(texts))
+            h, ends = shingle_sets(texts)
+            now = {c: np.asarray(part.column(c)) for c in names} | {"sketch": _registers(part.column("sketch"))}
+            now["sets"] = [h[ends[k] : ends[k + 1]].copy() for k in range(len(texts))]
             if rest is not None:
-                now = {c: np.concatenate([rest[c], now[c]]) for c in now}
+                now = {c: rest[c] + now[c] if c == "sets" else np.concatenate([rest[c], now[c]]) for c in now}
             cut = np.flatnonzero((np.diff(now["key"]) != 0) | (np.diff(now["x"]) != 0) | (np.diff(now["y"]) != 0)) + 1
-            ends = [0, *cut.tolist()]
-            for s, e in zip(ends, ends[1:], strict=False):
-                yield from emit({c: v[s:e] for c, v in now.items()})
-            rest = {c: v[ends[-1] :] for c, v in now.items()}
-        if rest is not None:
-            yield from emit(rest)
-
-    return run
+            edges, emit = [0, *cut.tolist()], []
+            for s, e in zip(edges, edges[1:], strict=False):
+                _link_group({c: v[s:e] for c, v in now.items()}, emit)
+            rest = {c: v[edges[-1] :] for c, v in now.items()}
+            if emit:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in emit], pa.int64()) for k in (0, 1)], ["a", "b"])
+    if rest is not None:
+        emit = []
+        _link_group(rest, emit)
+        if emit:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in emit], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,24 +315,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _verify(_prune(stars, nodes), base, tables)
     found = tables.write(connected(spark, links), "components")
 
-    for limit in PARTNERS:
-        known = found.select(F.col("id").alias("i"), F.col("component").alias("c"))
-        placed = members.join(known, F.col("id") == F.col("i"), "left").select("key", "id", "rep", "size", F.coalesce("c", "id").alias("c"))
-        open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
-        open_keys = tables.write(open_keys, "open")
+    # Bands that still hold several components: their members meet in blocks, which emit only links.
+    known = found.select(F.col("id").alias("i"), F.col("component").alias("c"))
+    placed = members.where("size > 2").join(known, F.col("id") == F.col("i"), "left").select("key", "id", "rep", "size", F.coalesce("c", "id").alias("c"))
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+    open_keys = tables.write(open_keys, "open")
+    if open_keys.take(1):
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        left = placed.where("size > 2").join(open_keys, F.col("key") == F.col("k")).withColumn("bi", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), blocks - 1))
-        left = left.select("key", "id", "c", "rep", "bi", other.alias("o")).select("key", "id", "c", "rep", "bi", F.least("bi", "o").alias("x"), F.greatest("bi", "o").alias("y"))
-        full = left.join(nodes.select(F.col("id").alias("ni"), "n", "sketch"), F.col("id") == F.col("ni")).drop("ni")
-        dealt = full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
-        more = tables.write(dealt.mapInArrow(_cross(limit), "a long, b long, more boolean"), "cross")
-        if not more.take(1):
-            break
-        links = tables.write(links.unionByName(_verify(more.select("a", "b"), base, tables)), "links")
+        left = placed.join(open_keys, F.col("key") == F.col("k")).withColumn("bi", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        left = left.select("key", "id", "c", "rep", "bi", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+        left = tables.write(left.select("key", "id", "c", "rep", "bi", F.least("bi", "o").alias("x"), F.greatest("bi", "o").alias("y")), "residual")
+        ids = tables.write(left.select("id").distinct(), "ids")
+        texts = _texts_of(base, ids).join(nodes.select(F.col("id").alias("ni"), "n", "sketch"), F.col("doc_id") == F.col("ni")).drop("ni")
+        dealt = left.join(texts, F.col("id") == F.col("doc_id")).drop("doc_id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+        links = tables.write(links.unionByName(dealt.mapInArrow(_cross, "a long, b long")), "links")
         found = tables.write(connected(spark, links), "components")
-        if not more.where("more").take(1):
-            break
 
     label = nodes.select("d1", "d2", "n", "id", "copies").join(found.toDF("i", "c"), F.col("id") == F.col("i"), "left")
     label = label.where("copies > 1 or c is not null").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), F.coalesce("c", "id").alias("c"))
