@@ -78,7 +78,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
         return Model(np.zeros(buckets, np.float32), 0.0, float(odds))
     y = labels.astype(float)
     folds = 2 if len(docs) > 1000 else 4
-    fold = np.arange(len(docs)) % folds
+    fold = np.random.default_rng(SEED).permutation(len(docs)) % folds
     raw = np.zeros(len(docs))
     for k in range(folds):  # log odds of texts that a model hasn't seen, for the calibration
         own = fold == k
