@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..functions import amounts, names, text, times
-from ..operators import aggregates, blocking, conflicts, explain, idf, sweep, workflow
+from ..functions import amounts, misc, names, text, times
+from ..operators import aggregates, blocking, conflicts, explain, idf, reports, sweep, workflow
 from ..operators.decide import decide, rank, score_candidates
 from ..policy import DEFAULT
 from ..sources import tables
@@ -501,3 +501,69 @@ def policy_sweep(spark, sf):
     v = views(spark, sf)
     few = {"tau_accept": [0.75, 0.82, 0.9, 0.3], "tau_margin": [0.05, 0.1], "inflation_material_minor": [0, 5_000]}
     return sweep.sensitivity(sweep.sweep(lambda p: decide(v["claims"], v["expected"], settled(v), tables.active_allocations(v["allocations"]), v["proofs"], p, names=False), few))
+
+
+# ---- list views, coverage and the remaining helpers
+
+
+@query(DECIDE.replace("c.order_id AS oid", "c.now_s AS cnow, c.order_id AS oid") + "SELECT claim_id, status FROM v WHERE status = 'NEEDS_REVIEW' ORDER BY cnow DESC, claim_id DESC LIMIT 20")
+def list_filter(spark, sf):
+    return reports.list_view(decided_core(spark, sf), 20, status="NEEDS_REVIEW")[0].select("claim_id", "status")
+
+
+@query(DECIDE + "SELECT claim_id, status, CAST(list_position(['SUSPICIOUS', 'DUPLICATE', 'NEEDS_REVIEW', 'UNMATCHED', 'VERIFIED'], status) AS BIGINT) AS severity FROM v")
+def history_sorted(spark, sf):
+    return aggregates.by_severity(decided_core(spark, sf)).select("claim_id", "status", "severity")
+
+
+@query(
+    CORE.replace("WITH ledger AS", duck_ctes("allocations") + ", ledger AS", 1)
+    + """, al AS (SELECT txn_id AS atx, arg_min(order_id, (coalesce(allocated_s, -62135596800), order_id, coalesce(verification_id, ''))) AS o, count(*) > 1 AS con FROM allocations WHERE status = 'ACTIVE' GROUP BY 1),
+j AS (SELECT r.*, o, con, o IS NOT NULL AND (order_id IS NULL OR order_id <> o) AS bad FROM r LEFT JOIN al ON atx = txn_id)
+SELECT claim_id, coalesce(string_agg(txn_id, '|' ORDER BY rnk) FILTER (bad), '') AS conflicts, coalesce(string_agg(txn_id, '|' ORDER BY rnk) FILTER (NOT bad), '') AS free, coalesce(string_agg(txn_id, '|' ORDER BY rnk) FILTER (con), '') AS contested, max(o) FILTER (bad AND rnk = 1) AS best_conflict FROM j GROUP BY 1"""
+)
+def ranking_duplicates(spark, sf):
+    v = views(spark, sf)
+    d = reports.ranking_duplicates(_ranked(spark, sf).select("claim_id", "order_id", "txn_id", "rnk"), tables.active_allocations(v["allocations"]))
+    return d.select("claim_id", *[F.array_join(c, "|").alias(c) for c in ("conflicts", "free", "contested")], "best_conflict")
+
+
+@query()
+def reason_coverage(spark, sf):
+    return reports.reason_coverage(decided_full(spark, sf)).withColumn("rules", F.array_join("rules", "|"))
+
+
+@query()
+def names_cross_check(spark, sf):
+    return reports.cross_check(decided_full(spark, sf), decided_core(spark, sf))
+
+
+@query(DECIDE + "SELECT txn_id, 'X' AS problem FROM ledger WHERE 1 = 0 UNION ALL SELECT order_id, 'MISSING' FROM expected WHERE order_id NOT IN (SELECT order_id FROM claims WHERE n % 10 = 0) UNION ALL SELECT 'none', 'none' FROM ledger WHERE 1 = 0".replace("txn_id, 'X'", "txn_id AS order_id, 'X'"))
+def missing_orders(spark, sf):
+    v = views(spark, sf)
+    return reports.missing_keys(v["expected"], v["claims"].where("n % 10 = 0"), "order_id")
+
+
+@query("WITH s AS (SELECT p_partkey, p_size * 41 AS w, p_size * 97 AS h FROM part), r AS (SELECT *, greatest(32, CAST(round_even(w / 32.0::DOUBLE, 0) AS INT) * 32) AS a, greatest(32, CAST(round_even(h / 32.0::DOUBLE, 0) AS INT) * 32) AS b FROM s), z AS (SELECT *, CASE WHEN a * b > 1003520 THEN greatest(32, CAST(floor(w / sqrt(w * h / 1003520.0::DOUBLE) / 32) AS INT) * 32) WHEN a * b < 3136 THEN CAST(ceil(w * sqrt(3136.0::DOUBLE / (w * h)) / 32) AS INT) * 32 ELSE a END AS width, CASE WHEN a * b > 1003520 THEN greatest(32, CAST(floor(h / sqrt(w * h / 1003520.0::DOUBLE) / 32) AS INT) * 32) WHEN a * b < 3136 THEN CAST(ceil(h * sqrt(3136.0::DOUBLE / (w * h)) / 32) AS INT) * 32 ELSE b END AS height FROM r) SELECT p_partkey, width, height, CAST(width / 32 * height / 32 AS INT) AS tokens FROM z")
+def smart_resize(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", misc.smart_resize(F.col("p_size") * 41, F.col("p_size") * 97).alias("s"))
+    return p.select("p_partkey", F.col("s.width").alias("width"), F.col("s.height").alias("height"), misc.image_tokens(F.col("s")).alias("tokens"))
+
+
+@query("SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS amount_minor, CAST(epoch(o_orderdate) AS BIGINT) + (o_orderkey * 7919) % 1440 * 60 - 18000 AS occurred_s, false AS date_inferred FROM orders WHERE o_orderkey % 5 <> 4 UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey % 5 = 4")
+def extract_claims(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    at = F.timestamp_seconds(F.unix_timestamp("o_orderdate") + (F.col("o_orderkey") * 7919) % 1440 * 60)
+    raw = o.select(
+        F.col("o_orderkey").cast("string").alias("claim_id"), F.lit("EASYPAISA").alias("provider"), F.concat(F.lit("Rs. "), F.format_number(F.round("o_totalprice", 2).cast("decimal(18,2)"), 2)).alias("amount"),
+        F.lit("A B").alias("sender_name"), F.lit(None).cast("string").alias("receiver_name"), F.lit("EP1").alias("reference_id"), F.date_format(at, "dd MMM yyyy, hh:mm a").alias("timestamp"),
+        F.when(F.col("o_orderkey") % 5 == 4, "TIMEOUT").alias("error_kind"),
+    )
+    c = tables.extract_claims(raw)
+    return c.select(F.col("claim_id").cast("long").alias("o_orderkey"), "amount_minor", "occurred_s", "date_inferred")
+
+
+@query("SELECT l_returnflag AS status, l_linestatus AS band, count(*) AS items, count_if(l_quantity > 25)::BIGINT AS large, min(l_orderkey) AS first_order FROM lineitem GROUP BY ALL")
+def category_counts(spark, sf):
+    l = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return l.groupBy(F.col("l_returnflag").alias("status"), F.col("l_linestatus").alias("band")).agg(F.count("*").alias("items"), F.count_if(F.col("l_quantity") > 25).alias("large"), F.min("l_orderkey").alias("first_order"))
