@@ -224,7 +224,15 @@ def decisions(ctx: DataFrame, policy: Policy, names: bool = True) -> DataFrame:
     }).drop("observations").withColumnRenamed("all_observations", "observations")
 
 
-def decide(claims: DataFrame, orders: DataFrame, ledger: DataFrame, allocations: DataFrame, proofs: DataFrame, policy: Policy = DEFAULT, names: bool = True) -> DataFrame:
+#: The knobs that retrieval reads.
+RETRIEVAL_KNOBS = {"time_window_s", "max_candidates", "blocking_idf_floor"}
+
+
+def anchored(claims: DataFrame) -> DataFrame:
+    return claims.withColumn("anchor_s", F.coalesce("occurred_s", "now_s"))
+
+
+def decide(claims: DataFrame, orders: DataFrame, ledger: DataFrame, allocations: DataFrame, proofs: DataFrame, policy: Policy = DEFAULT, names: bool = True, pairs: DataFrame | None = None) -> DataFrame:
     """One row a claim.
 
     claims: claim_id, merchant_id, order_id, amount_minor, currency, sender_name, receiver_name, reference_id,
@@ -233,8 +241,9 @@ def decide(claims: DataFrame, orders: DataFrame, ledger: DataFrame, allocations:
     orders: order_id, expected_minor, currency. allocations: txn_id, order_id, verification_id, allocated_s.
     proofs: sha256, order_id, order_ref, verification_id, submitted_s.
     A broken invariant is named in ``violation``; it does not stop the batch.
+    pairs: candidates retrieved before, for policies that differ in nothing that retrieval reads.
     """
-    c = claims.withColumn("anchor_s", F.coalesce("occurred_s", "now_s"))
-    pairs = retrieve(c, ledger, policy, names)
+    c = anchored(claims)
+    pairs = retrieve(c, ledger, policy, names) if pairs is None else pairs
     ranked = rank(score_candidates(c, ledger, pairs, policy, names))
     return decisions(build_context(c, orders, allocations, proofs, ranked, policy, names), policy, names)
