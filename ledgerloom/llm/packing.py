@@ -25,8 +25,8 @@ LENGTH = 2048
 OPEN_BINS = 4096
 #: Tokens that one packing task takes on average; each leaves at most one bin poorly filled.
 TOKENS_PER_TASK = 16_000_000
-#: Texts are tokenized in blocks of about so many characters.
-BLOCK_CHARS = 1_000_000
+#: Texts are worked on in blocks of about so many characters.
+BLOCK_CHARS = 400_000
 
 _encoders: dict[str, UnitEncoder] = {}
 

@@ -42,7 +42,7 @@ class UnitEncoder:
     ``cache_units`` bounds the cache; when it is full it is emptied.
     """
 
-    def __init__(self, path: str, cache_units: int = 1_000_000):
+    def __init__(self, path: str, cache_units: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -91,9 +91,13 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
 
 def _fit(docs, y, rng) -> tuple[np.ndarray, float]:
     """Adagrad on embeddings, softmax and bias together. With two classes the embeddings' gradient has rank one."""
-    used, back = np.unique(np.concatenate([i for i, _ in docs]), return_inverse=True)
-    back = back.astype(np.int32)
-    local = np.split(back, np.cumsum([len(i) for i, _ in docs])[:-1])
+    seen = np.zeros(1 << BUCKET_BITS, bool)
+    for i, _ in docs:
+        seen[i] = True
+    used = np.flatnonzero(seen)
+    place = np.zeros(len(seen), np.int32)
+    place[used] = np.arange(len(used))
+    local = [place[i] for i, _ in docs]
     e = rng.normal(0, 1 / DIM, (len(used), DIM)).astype(np.float32)
     v = rng.normal(0, 0.1, (2, DIM))
     bias = np.zeros(2)
