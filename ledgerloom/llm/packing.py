@@ -31,10 +31,16 @@ BLOCK_CHARS = 400_000
 _encoders: dict[str, UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
+#: Words that a worker process keeps, about 200 bytes each. A packing job by itself affords more than
+#: one stage among others that share its workers.
+CACHE_UNITS, CACHE_UNITS_ALONE = 350_000, 1_000_000
+
+
+def encoder(path: str, cache_units: int = CACHE_UNITS) -> UnitEncoder:
     """One encoder for each worker process: its cache of words serves all its tasks."""
     if path not in _encoders:
         _encoders[path] = UnitEncoder(path)
+    _encoders[path].cache_units = cache_units
     return _encoders[path]
 
 
@@ -55,9 +61,9 @@ def text_blocks(column: pa.ChunkedArray | pa.Array, chars: int = BLOCK_CHARS) ->
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, mark long"
 
 
-def _tokenize(path: str, length: int, end_id: int, with_ids: bool):
+def _tokenize(path: str, length: int, end_id: int, with_ids: bool, cache_units: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
+        enc, end = encoder(path, cache_units), np.asarray([end_id], "<u4").tobytes()
         step = 4 * length
         for batch in batches:
             ids = batch.column("doc_id")
@@ -77,7 +83,7 @@ def _tokenize(path: str, length: int, end_id: int, with_ids: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = 0, with_ids: bool = False, cache_units: int = CACHE_UNITS) -> DataFrame:
     """Pieces of every document's ids followed by end_id: doc_id, piece, start, length, ids_crc32, mark (crc32 of all its ids).
 
     Only documents of more than ``length`` ids are cut. Null and empty texts are
@@ -85,7 +91,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LE
     """
     path = tokenizer or default_tokenizer_path()
     schema = PIECES + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenize(path, length, end_id, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenize(path, length, end_id, with_ids, cache_units), schema)
 
 
 class BestFit:
@@ -169,9 +175,9 @@ def _pack_tasks(length: int, open_bins: int):
     return run
 
 
-def pack_documents(docs: DataFrame, **options) -> DataFrame:
-    return pack(token_pieces(docs), **options).withColumn("length", F.col("length").cast("long"))
+def pack_documents(docs: DataFrame, cache_units: int = CACHE_UNITS, **options) -> DataFrame:
+    return pack(token_pieces(docs, cache_units=cache_units), **options).withColumn("length", F.col("length").cast("long"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), cache_units=CACHE_UNITS_ALONE)
