@@ -226,13 +226,18 @@ def decisions(ctx: DataFrame, policy: Policy, names: bool = True) -> DataFrame:
 
 #: The knobs that retrieval reads.
 RETRIEVAL_KNOBS = {"time_window_s", "max_candidates", "blocking_idf_floor"}
+#: The knobs that only rules and their context read: neither retrieval nor scores depend on them.
+DECISION_KNOBS = {
+    "tau_accept", "tau_reject", "tau_margin", "tau_ambiguous", "inflation_material_minor", "inflation_material_pct",
+    "overpayment_material_minor", "overpayment_material_pct", "min_field_confidence", "tamper_signal_limit",
+}
 
 
 def anchored(claims: DataFrame) -> DataFrame:
     return claims.withColumn("anchor_s", F.coalesce("occurred_s", "now_s"))
 
 
-def decide(claims: DataFrame, orders: DataFrame, ledger: DataFrame, allocations: DataFrame, proofs: DataFrame, policy: Policy = DEFAULT, names: bool = True, pairs: DataFrame | None = None) -> DataFrame:
+def decide(claims: DataFrame, orders: DataFrame, ledger: DataFrame, allocations: DataFrame, proofs: DataFrame, policy: Policy = DEFAULT, names: bool = True, pairs: DataFrame | None = None, ranked: DataFrame | None = None) -> DataFrame:
     """One row a claim.
 
     claims: claim_id, merchant_id, order_id, amount_minor, currency, sender_name, receiver_name, reference_id,
@@ -242,8 +247,10 @@ def decide(claims: DataFrame, orders: DataFrame, ledger: DataFrame, allocations:
     proofs: sha256, order_id, order_ref, verification_id, submitted_s.
     A broken invariant is named in ``violation``; it does not stop the batch.
     pairs: candidates retrieved before, for policies that differ in nothing that retrieval reads.
+    ranked: candidates ranked before, for policies that differ in DECISION_KNOBS alone.
     """
     c = anchored(claims)
-    pairs = retrieve(c, ledger, policy, names) if pairs is None else pairs
-    ranked = rank(score_candidates(c, ledger, pairs, policy, names))
+    if ranked is None:
+        pairs = retrieve(c, ledger, policy, names) if pairs is None else pairs
+        ranked = rank(score_candidates(c, ledger, pairs, policy, names))
     return decisions(build_context(c, orders, allocations, proofs, ranked, policy, names), policy, names)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import amounts, misc, names, text, times
 from ..operators import aggregates, blocking, conflicts, explain, idf, reports, sweep, workflow
-from ..operators.decide import RETRIEVAL_KNOBS, anchored, decide, rank, score_candidates
+from ..operators.decide import DECISION_KNOBS, RETRIEVAL_KNOBS, anchored, decide, rank, score_candidates
 from ..policy import DEFAULT
 from ..sources import tables
 from ..sources.testdata import duck_ctes, views
@@ -502,15 +502,15 @@ def policy_sweep(spark, sf):
     v = views(spark, sf)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
-    few = {"tau_accept": [0.75, 0.9, 0.3], "tau_margin": [0.05], "inflation_material_minor": [0], "time_window_s": [3_600]}
-    t, allocs = settled(v), tables.active_allocations(v["allocations"])
-    pairs = blocking.retrieve(anchored(v["claims"]), t, DEFAULT, names=False).checkpoint()  # once for all policies that retrieve alike
+    c, t, allocs = anchored(v["claims"]), settled(v), tables.active_allocations(v["allocations"])
+    pairs = blocking.retrieve(c, t, DEFAULT).checkpoint()  # once for all policies that retrieve alike
+    best = rank(score_candidates(c, t, pairs, DEFAULT)).where("rnk = 1").checkpoint()  # once for all that score alike; decisions read the first rank
 
     def run(p):
-        same = all(getattr(p, k) == getattr(DEFAULT, k) for k in RETRIEVAL_KNOBS)
-        return decide(v["claims"], v["expected"], t, allocs, v["proofs"], p, names=False, pairs=pairs if same else None)
+        moved = {k for k in p.knobs() if getattr(p, k) != getattr(DEFAULT, k)}
+        return decide(v["claims"], v["expected"], t, allocs, v["proofs"], p, pairs=None if moved & RETRIEVAL_KNOBS else pairs, ranked=best if moved <= DECISION_KNOBS else None)
 
-    return sweep.sensitivity(sweep.sweep(run, few))
+    return sweep.sensitivity(sweep.sweep(run))
 
 
 # ---- list views, coverage and the remaining helpers
