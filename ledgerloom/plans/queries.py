@@ -238,6 +238,12 @@ def rank_margin(spark, sf):
     return _ranked(spark, sf).where("rnk <= 3").select("claim_id", "txn_id", "score", F.round("margin", 9).alias("margin"), "dominant", "rnk")
 
 
+@query(CORE + "SELECT claim_id, txn_id, score, round(margin, 9) AS margin, ne = 1 AND rc = 'REF_EXACT' AND rnk = 1 AS dominant, CAST(rnk AS INT) AS rnk, CAST(nc AS BIGINT) AS n_candidates FROM r")
+def rank_margin_whole(spark, sf):
+    """Every rank of every claim; rank_margin and its SQL have the first three."""
+    return _ranked(spark, sf).select("claim_id", "txn_id", "score", F.round("margin", 9).alias("margin"), "dominant", "rnk", "n_candidates")
+
+
 DECIDE = (
     CORE.replace("WITH ledger AS", duck_ctes("expected", "allocations", "proofs") + ", ledger AS", 1)
     + """, al AS (SELECT txn_id, arg_min(order_id, (coalesce(allocated_s, -62135596800), order_id, coalesce(verification_id, ''))) AS o FROM allocations WHERE status = 'ACTIVE' GROUP BY 1),
