@@ -40,36 +40,45 @@ BLOCK = 512
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, REGISTERS + 1, dtype=np.uint64) * _G
-_STRIDES = np.asarray([s for s in range(1, REGISTERS) if np.gcd(s, REGISTERS) == 1], np.int64)
 
 
 def sketches(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Registers (texts x REGISTERS) of the sets hashes[ends[i]:ends[i + 1]]; 0 for empty sets.
 
-    An element visits all registers in an order of its own, at the increasing
-    times of REGISTERS exponential clocks; it stops once its time is above all
-    that the set's registers hold.
+    An element visits all registers in a random order of its own (Fisher-Yates,
+    drawn from its hash as far as it gets), at the increasing times of REGISTERS
+    exponential clocks; it stops once its time is above all that the set's
+    registers hold.
     """
     count = len(ends) - 1
     times = np.full(count * REGISTERS, np.inf)
     owner = np.repeat(np.arange(count), np.diff(ends))
     h = hashes
-    first = (mix64(h ^ _G) >> np.uint64(33)).astype(np.int64)
-    at, stride = first % REGISTERS, _STRIDES[(first // REGISTERS) % len(_STRIDES)]
+    draws = mix64(h ^ _G)
+    order = np.zeros((0, REGISTERS), np.uint8)
     x = np.zeros(len(h))
     for k in range(REGISTERS):
         if not len(h):
             break
         u = (mix64(h + _STEPS[k]) >> np.uint64(11)).astype(float) * 2.0**-53
         x = x - np.log1p(-u) / (REGISTERS - k)
+        at = k + ((mix64(draws + _STEPS[k]) >> np.uint64(32)) % np.uint64(REGISTERS - k)).astype(np.int64)
+        if k:
+            every = np.arange(len(h))
+            swapped = at
+            at = order[every, swapped].astype(np.int64)
+            order[every, swapped] = order[:, k]
         np.minimum.at(times, owner * REGISTERS + at, x)
         if k < 8 or k % 4 == 3:
             change = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
             active = owner[change]
             worst = times.reshape(count, REGISTERS)[active].max(1)
             keep = x < np.repeat(worst, np.diff(np.append(change, len(owner))))
-            h, owner, at, stride, x = h[keep], owner[keep], at[keep], stride[keep], x[keep]
-        at = (at + stride) % REGISTERS
+            h, owner, draws, x, at = h[keep], owner[keep], draws[keep], x[keep], at[keep]
+            order = order[keep] if k else order
+        if not k:  # the first visit needs no table, and of a large set few elements make a second
+            order = np.tile(np.arange(REGISTERS, dtype=np.uint8), (len(h), 1))
+            order[np.arange(len(h)), at] = 0
     with np.errstate(divide="ignore"):
         level = np.floor(1 - np.log(times / RATE) / np.log(BASE))
     return np.where(np.isinf(times), 0, np.clip(level, 1, LEVELS + 1)).astype(np.uint16).reshape(count, REGISTERS)

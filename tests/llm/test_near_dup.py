@@ -94,3 +94,13 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in connected(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and {got[100], got[101], got[102]} == {100} and 200 not in got
     assert connected(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tiny_sets_share_a_band():
+    """3 of 4 shingles shared, 40,000 pairs: 1e-2 pairs without a common band are expected."""
+    rng = np.random.default_rng(1)
+    for _ in range(4):
+        pool = rng.integers(0, 2**64, (10_000, 4), dtype=np.uint64)
+        a, b = (N.sketches(x.ravel(), np.arange(0, x.size + 1, x.shape[1])) for x in (np.sort(pool[:, :3], 1), np.sort(pool, 1)))
+        same = (a.reshape(-1, N.BANDS, N.ROWS) == b.reshape(-1, N.BANDS, N.ROWS)).all(2).any(1)
+        assert same.all()
