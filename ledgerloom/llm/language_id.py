@@ -27,7 +27,7 @@ HASHES = 3
 #: A language holds an n-gram with at least MIN_SHARE of its n-grams of that size
 #: (so at most 1 / MIN_SHARE for each size), and at least RATIO of the largest share of any language.
 MIN_SHARE, RATIO = 2e-5, 0.25
-#: The classifier is fitted on about so many labelled documents of each language, chosen by hash.
+#: The classifier is fitted on about so many distinct labelled texts of each language, chosen by hash.
 SAMPLE_DOCS = 2_000
 LANGUAGES_PER_WORD = 64
 BITS_PER_GRAM = 16
@@ -144,16 +144,16 @@ def _count_grams(sizes):
 def learn_filters(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_share: float = MIN_SHARE, ratio: float = RATIO) -> Filters:
     """Filters from text and lang of docs. Rows with a null in either teach nothing; no rows: no languages.
 
-    The sample's bound: about ``sample_docs`` documents a language, those whose
-    text's hash is lowest; the driver gets at most 1 / min_share n-grams for each
-    language and size.
+    The sample's bound: about ``sample_docs`` distinct texts a language, those
+    whose hash is lowest; copies of a text count once. The driver gets at most
+    1 / min_share n-grams for each language and size.
     """
     labelled = docs.where("text is not null and lang is not null").select("lang", "text")
-    sizes = {r["lang"]: r["c"] for r in docs.where("text is not null and lang is not null").groupBy("lang").agg(F.count("*").alias("c")).collect()}
+    sizes = {r["lang"]: r["c"] for r in docs.where("text is not null and lang is not null").groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("c")).collect()}
     if not sizes:
         return Filters([], [])
     share = F.element_at(F.create_map(*[F.lit(x) for lang, c in sizes.items() for x in (lang, min(1.0, sample_docs / c))]), F.col("lang"))
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).distinct()
     counted = chosen.mapInArrow(_count_grams(SIZES), "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     totals = counted.groupBy("lang", "n").agg(F.sum("c").alias("t"))
     shares = counted.join(F.broadcast(totals), ["lang", "n"]).withColumn("share", F.col("c") / F.col("t"))

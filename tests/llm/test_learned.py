@@ -70,3 +70,13 @@ def test_toxicity_query_and_odd_rows(spark, sf):
     df = spark.createDataFrame(ODD, "doc_id long, text string").selectExpr("*", "'clash' AS score")
     got = T.score_toxicity(df, model)
     assert got.count() == len(ODD) and got.select("score").distinct().count() == 1 and T.score_toxicity(df.limit(0), model).count() == 0
+
+
+def test_language_sample_counts_copies_once(spark):
+    words = [chr(97 + a) + chr(97 + b) + chr(97 + c) for a in range(26) for b in range(26) for c in range(2)]
+    texts = [" ".join(words[i : i + 12]) for i in range(0, 1200, 3)]
+    plain = spark.createDataFrame([(x, "aa") for x in texts], "text string, lang string")
+    drawn = plain.selectExpr("text", "pmod(xxhash64(text), 1 << 30) AS h").orderBy("h").first()["text"]
+    copied = spark.createDataFrame([(x, "aa") for x in [*texts, *[drawn] * 200]], "text string, lang string")
+    a, b = (L.learn_filters(x, sample_docs=100, min_share=1e-3) for x in (plain, copied))
+    assert a.size == b.size and (a.slots == b.slots).all()
