@@ -80,3 +80,19 @@ def test_language_sample_counts_copies_once(spark):
     copied = spark.createDataFrame([(x, "aa") for x in [*texts, *[drawn] * 200]], "text string, lang string")
     a, b = (L.learn_filters(x, sample_docs=100, min_share=1e-3) for x in (plain, copied))
     assert a.size == b.size and (a.slots == b.slots).all()
+
+
+FOREIGN = [
+    "Nel mezzo del cammino di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita. La casa era piccola ma gli amici venivano ogni giorno.",
+    "De kinderen liepen langzaam door het bos terwijl de wind hard waaide en niemand wist waar het huis van de oude man lag. Morgen gaan wij naar de markt.",
+    "Wczoraj wieczorem poszedlem do sklepu po chleb i mleko ale niestety wszystko bylo juz zamkniete. Jutro rano sprobuje jeszcze raz przed praca.",
+    "Eilen illalla menin kauppaan ostamaan leipaa ja maitoa mutta valitettavasti kaikki oli jo suljettu. Huomenna aamulla yritan uudelleen ennen toita.",
+]
+
+
+def test_unknown_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ids = {r[0] for r in docs.select("doc_id").collect()}
+    planted = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(FOREIGN)], "doc_id long, text string")
+    kept = [r[0] for r in L.keep_known(docs.unionByName(planted, allowMissingColumns=True)).select("doc_id").collect()]
+    assert set(kept) == ids and len(kept) == len(ids)
