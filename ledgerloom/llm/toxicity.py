@@ -209,9 +209,9 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Documents that score under threshold; the others go."""
-    model = learn_toxicity(docs, labels.where(~held_out(F.col("doc_id"))))
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Documents that score under threshold; the others go. All labels teach."""
+    model = learn_toxicity(docs, labels)
     scored = score_toxicity(docs, model, score_col="__score", predicted_col="__toxic", threshold=threshold)
     return scored.where("__toxic = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -96,3 +96,10 @@ def test_unknown_languages_go(spark):
     planted = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(FOREIGN)], "doc_id long, text string")
     kept = [r[0] for r in L.keep_known(docs.unionByName(planted, allowMissingColumns=True)).select("doc_id").collect()]
     assert set(kept) == ids and len(kept) == len(ids)
+
+
+def test_pipeline_drops_what_is_predicted_toxic(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    model = T.learn_toxicity(docs, labels)
+    want = {r[0] for r in T.score_toxicity(docs, model).where("predicted = 0").select("doc_id").collect()}
+    assert {r[0] for r in T.drop_toxic(docs, labels).select("doc_id").collect()} == want
