@@ -560,6 +560,19 @@ def missing_orders(spark, sf):
     return reports.missing_keys(v["expected"], v["claims"].where("n % 10 = 0"), "order_id")
 
 
+@query(
+    duck_ctes("ledger", "allocations")
+    + """, h AS (SELECT txn_id, count(*) AS k FROM allocations GROUP BY 1)
+SELECT txn_id, 'MISSING' AS problem FROM (SELECT DISTINCT txn_id FROM ledger) w WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.txn_id = w.txn_id)
+UNION ALL SELECT txn_id, 'EXTRA' FROM h WHERE NOT EXISTS (SELECT 1 FROM ledger w WHERE w.txn_id = h.txn_id)
+UNION ALL SELECT txn_id, 'DUPLICATE' FROM h WHERE k > 1"""
+)
+def allocation_problems(spark, sf):
+    """The whole ledger against all allocations: transactions without one, unknown ones, those allocated more than once."""
+    v = views(spark, sf)
+    return reports.missing_keys(v["ledger"], v["allocations"], "txn_id")
+
+
 @query("WITH s AS (SELECT p_partkey, p_size * 41 AS w, p_size * 97 AS h FROM part), r AS (SELECT *, greatest(32, CAST(round_even(w / 32.0::DOUBLE, 0) AS INT) * 32) AS a, greatest(32, CAST(round_even(h / 32.0::DOUBLE, 0) AS INT) * 32) AS b FROM s), z AS (SELECT *, CASE WHEN a * b > 1003520 THEN greatest(32, CAST(floor(w / sqrt(w * h / 1003520.0::DOUBLE) / 32) AS INT) * 32) WHEN a * b < 3136 THEN CAST(ceil(w * sqrt(3136.0::DOUBLE / (w * h)) / 32) AS INT) * 32 ELSE a END AS width, CASE WHEN a * b > 1003520 THEN greatest(32, CAST(floor(h / sqrt(w * h / 1003520.0::DOUBLE) / 32) AS INT) * 32) WHEN a * b < 3136 THEN CAST(ceil(h * sqrt(3136.0::DOUBLE / (w * h)) / 32) AS INT) * 32 ELSE b END AS height FROM r) SELECT p_partkey, width, height, CAST(width / 32 * height / 32 AS INT) AS tokens FROM z")
 def smart_resize(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", misc.smart_resize(F.col("p_size") * 41, F.col("p_size") * 97).alias("s"))

@@ -25,3 +25,7 @@ def test_rank_margin_whole(spark):
     got = same_as_sql(spark, "rank_margin_whole")
     per = got.groupby("claim_id")["rnk"].agg(["max", "count"])
     assert per["max"].max() > 3 and (per["max"] == per["count"]).all() and (per["max"].to_numpy() == got.groupby("claim_id")["n_candidates"].max().to_numpy()).all()
+
+
+def test_allocation_problems(spark):
+    assert set(same_as_sql(spark, "allocation_problems")["problem"]) == {"MISSING", "EXTRA", "DUPLICATE"}
