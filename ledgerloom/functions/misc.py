@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: 2026-08-20 14:05 in Pakistan.
 DEMO_NOW_S = 1_787_216_700
@@ -33,14 +31,12 @@ def image_tokens(size: Column) -> Column:
     return (size["width"] / PATCH * size["height"] / PATCH).cast("int")
 
 
-@F.pandas_udf(T.StringType())
-def _uuid5(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: str(uuid.uuid5(uuid.NAMESPACE_URL, x)), na_action="ignore")
-
-
 def stable_id(name: Column) -> Column:
     """Version 5 UUID in the URL namespace."""
-    return _uuid5(name)
+    digest = F.sha1(F.concat(F.unhex(F.lit(uuid.NAMESPACE_URL.hex)), F.encode(name, "UTF-8")))
+    at = lambda start, n: F.substring(digest, start, n)
+    variant = F.lpad(F.lower(F.hex(F.conv(at(17, 2), 16, 10).cast("long").bitwiseAND(0x3F).bitwiseOR(0x80))), 2, "0")
+    return F.concat(at(1, 8), F.lit("-"), at(9, 4), F.lit("-5"), at(14, 3), F.lit("-"), variant, at(19, 2), F.lit("-"), at(21, 12))
 
 
 def mask_display(raw: Column, masked: Column) -> Column:

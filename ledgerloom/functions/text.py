@@ -2,45 +2,39 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Glyphs that are read for one another in references.
 CONFUSABLE_FROM, CONFUSABLE_TO = "OQDILSBZG", "000115826"
-ARABIC_INDIC, EXTENDED = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹"
-
-
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x), na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def _digits(s: pd.Series) -> pd.Series:
-    def fold(x: str) -> str:
-        return "".join(str(unicodedata.digit(c)) if c.isdigit() and not c.isascii() else c for c in x)
-
-    return s.map(fold, na_action="ignore")
+#: Every digit beyond ASCII and the ASCII digit of its value, from the Unicode tables.
+_DIGITS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdigit()]
+_DIGIT_VALUES = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+_ICU = "com.ibm.icu.text.Normalizer"
 
 
 def _ascii(col: Column) -> Column:
     return ~col.rlike(r"[^\x00-\x7f]")
 
 
+def normal_form(col: Column, composed: bool) -> Column:
+    """NFKC (composed) or NFKD, by the ICU library that Spark itself ships; ASCII texts, and nulls, don't reach it."""
+    call = F.java_method(F.lit(_ICU), F.lit("compose" if composed else "decompose"), col, F.lit(True))
+    return F.when(~_ascii(col), call).otherwise(col)
+
+
 def nfkc(col: Column) -> Column:
-    """NFKC, NBSP to space, direction marks dropped, white space collapsed, stripped. ASCII texts stay in the JVM."""
-    folded = F.when(_ascii(col), col).otherwise(_nfkc(col))
-    folded = F.translate(folded, " ‏‎", " ")
+    """NFKC, NBSP to space, direction marks dropped, white space collapsed, stripped."""
+    folded = F.translate(normal_form(col, True), " \u200f\u200e", " ")
     return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
 def fold_digits(col: Column) -> Column:
-    """Every Unicode decimal digit to ASCII."""
-    return F.when(_ascii(col), col).otherwise(_digits(col))
+    """Every Unicode digit to ASCII."""
+    return F.when(_ascii(col), col).otherwise(F.translate(col, "".join(_DIGITS), _DIGIT_VALUES))
 
 
 def digits_changed(col: Column) -> Column:
@@ -122,7 +116,7 @@ def as_uuid(col: Column) -> Column:
 def earlier_order_ref(observations: Column, notes_text: Column, current: Column) -> Column:
     """The reference after a reuse note; else the first other order reference in the text."""
     prefix = "PROOF_PREVIOUSLY_SUBMITTED:"
-    noted = F.get(F.filter(F.transform(F.filter(observations, lambda o: o.startswith(prefix)), lambda o: F.trim(F.substring(o, len(prefix) + 1, 1000))), lambda r: r != ""), F.lit(0))
+    noted = F.get(F.filter(F.transform(F.filter(observations, lambda o: o.startswith(prefix)), lambda o: F.trim(o.substr(F.lit(len(prefix) + 1), F.length(o)))), lambda r: r != ""), F.lit(0))
     found = F.filter(F.regexp_extract_all(notes_text, F.lit(r"\b(ORD(?:ER)?[-_ ]?\d[A-Z0-9-]*)"), F.lit(1)), lambda r: r != F.coalesce(current, F.lit("")))
     return F.coalesce(noted, F.get(found, F.lit(0)))
 

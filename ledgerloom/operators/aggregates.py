@@ -84,3 +84,8 @@ def plateau(sweep: DataFrame) -> DataFrame:
 def nearest_flips(sweep: DataFrame, default: float) -> DataFrame:
     """sweep: value, moved. The nearest value on either side of the default at which something moved."""
     return sweep.agg(F.max(F.when((F.col("value") < default) & F.col("moved"), F.col("value"))).alias("below"), F.min(F.when((F.col("value") > default) & F.col("moved"), F.col("value"))).alias("above"))
+
+
+def category_counts(items: DataFrame, by: list[str], flag: F.Column, id_col: str) -> DataFrame:
+    """items, flagged and the first id of each combination of ``by``; nulls are a category of their own."""
+    return items.groupBy(*by).agg(F.count("*").alias("items"), F.count_if(flag).alias("flagged"), F.min(id_col).alias("first_id"))

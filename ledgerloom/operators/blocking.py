@@ -1,9 +1,12 @@
-"""Candidate retrieval: blocking keys of seven kinds, one equi-join, ranked and capped.
-
-Every claim and ledger row turns into rows of (kind, key). All kinds go through
-one join on (kind, key, merchant); what a key can't say (the exact time band) is
-a residual condition. Rows without a merchant meet all merchants in joins of
-their own. Duplicate hits of a pair fold into one row before the ranking.
+"""Candidate retrieval: blocking keys, equi-joins, the nearest in time by rank, ranked and capped.
+
+Claims and ledger rows turn into rows of (kind, key), joined on (kind, key,
+merchant). Only the nearest in time can be among a claim's candidates, so a
+dense key is no join of all with all: each key's rows are a line, numbered in
+the order of time, and a claim meets only the rows whose numbers are next to its
+own; how many lie in its time window is a difference of two numbers. candidates()
+is that, for decisions. retrieve() also tells every kind and counts every pair,
+for which it must list those that a key other than time finds.
 """
 
 from __future__ import annotations
@@ -13,15 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.amounts import amount_probes
-from ..functions.names import name_tokens, phonetic_keys, rarest_two
 from ..functions.text import confusable, normalize_reference
 from ..policy import Policy
 from .idf import idf, name_documents
+from .names import phonetic_keys
 
 #: Fixed values, in order of rank.
 KINDS = ["REF_EXACT", "REF_CONFUSABLE", "REF_SUFFIX", "TIME_WINDOW", "AMOUNT_EXACT", "AMOUNT_NEIGHBOUR", "NAME_PHONETIC"]
+TIME, NAME = 3, 6
 SUFFIX = 6
 DAY = 86_400
+#: Seconds of one merchant's ledger that one task numbers.
+SLOT_S = 3_600
 
 
 def with_keys(df: DataFrame, reference: Column) -> DataFrame:
@@ -43,68 +49,178 @@ def _known(col: Column) -> Column:
     return F.when(F.length(col) > 0, col)
 
 
-def _name_keys(df: DataFrame, key: str, names: list[str], weights: DataFrame) -> DataFrame:
-    """key, name_keys: phonetic keys of the two rarest tokens of each name."""
-    each = df.select(key, "merchant_id", F.explode(F.array(*names)).alias("name")).where("name is not null")
-    each = each.select(key, "merchant_id", name_tokens(F.col("name")).alias("tokens")).where(F.size("tokens") > 0)
-    per = weights.groupBy(F.col("merchant_id").alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("w"))
-    both = each.join(per, F.col("merchant_id").eqNullSafe(F.col("m")), "left")
-    picked = both.select(key, rarest_two(F.col("tokens"), F.coalesce("w", F.create_map().cast("map<string,double>"))).alias("tokens"))
-    return picked.select(F.col(key).alias("k"), phonetic_keys(F.col("tokens")).alias("keys")).groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("name_keys"))
-
-
-def blocking_keys(claims: DataFrame, ledger: DataFrame, policy: Policy, names: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(claim rows, ledger rows) with kind and key. claims have anchor_s: the reading, else now."""
-    c = with_keys(claims, F.col("reference_id"))
-    t = with_keys(ledger, ledger_reference())
-    if names:
-        weights = idf(name_documents(ledger), policy.blocking_idf_floor, scoring=False)
-        c = c.join(_name_keys(claims, "claim_id", ["sender_name", "receiver_name"], weights), F.col("claim_id") == F.col("k"), "left").drop("k")
-        t = t.join(_name_keys(ledger, "txn_id", ["sender_name", "receiver_name"], weights), F.col("txn_id") == F.col("k"), "left").drop("k")
-    none = F.array().cast("array<struct<kind:int,key:string>>")
+def _keys_of(df: DataFrame, row: Column | None, kinds: set[int], id_col: str, side: str, table: DataFrame | None) -> DataFrame:
+    """df with e(kind, key), a row for each key; row: the array of entries that a row has by itself."""
+    parts = []
+    if row is not None:
+        parts.append(df.withColumn("e", F.explode(row)).where("e.key is not null"))
+    if NAME in kinds:
+        keyed = phonetic_keys(df, id_col, ["sender_name", "receiver_name"], table).select(F.col(id_col).alias("k"), "name_key")
+        parts.append(df.join(keyed, F.col(id_col) == F.col("k")).withColumn("e", _entry(NAME, F.col("name_key"))).drop("k", "name_key"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.select(id_col, F.col("merchant_id").alias(f"{side}m"), "at", F.col("e.kind").alias(f"{side}kind"), F.col("e.key").alias(f"{side}key"))
+
 
-    def entries(name_keys: Column | None, own: list[Column], more: list[Column]) -> Column:
-        arrays = [F.array(*own), *more]
-        if name_keys is not None:
-            arrays.append(F.transform(F.coalesce(name_keys, F.array().cast("array<string>")), lambda k: _entry(6, k)))
-        return F.filter(F.concat(*[F.coalesce(a, none) for a in arrays]), lambda e: e["key"].isNotNull())
+def blocking_keys(claims: DataFrame, ledger: DataFrame, policy: Policy, kinds: set[int]) -> tuple[DataFrame, DataFrame]:
+    """(claim_id, cm, at, ckind, ckey), (txn_id, tm, at, tkind, tkey) of the asked kinds. All rows share the key of TIME.
 
-    days = F.sequence(F.floor((F.col("anchor_s") - policy.time_window_s) / DAY), F.floor((F.col("anchor_s") + policy.time_window_s) / DAY))
+    claims have anchor_s: the reading, else now. Only what the kinds need is computed.
+    """
+    table = idf(name_documents(ledger), policy.blocking_idf_floor, scoring=False) if NAME in kinds else None
     money = F.concat(F.col("currency"), F.lit("|"), F.col("amount_minor"))
     probes = F.transform(amount_probes(F.col("amount_minor")), lambda p: _entry(5, F.concat(F.col("currency"), F.lit("|"), p)))
-    refs = [_entry(0, _known(F.col("ref_norm"))), _entry(1, _known(F.col("ref_conf"))), _entry(2, F.when(F.length("ref_norm") >= SUFFIX, F.right("ref_norm", F.lit(SUFFIX))))]
-    c = c.withColumn("e", F.explode(entries(F.col("name_keys") if names else None, [*refs, _entry(4, money)], [F.transform(days, lambda d: _entry(3, d)), probes])))
-    t = t.withColumn("e", F.explode(entries(F.col("name_keys") if names else None, [*refs, _entry(3, F.floor(F.col("occurred_s") / DAY)), _entry(4, money), _entry(5, money)], [])))
-    return (
-        c.select("claim_id", F.col("merchant_id").alias("cm"), "anchor_s", F.col("e.kind").alias("kind"), F.col("e.key").alias("key")),
-        t.select("txn_id", F.col("merchant_id").alias("tm"), "occurred_s", F.col("e.kind").alias("tkind"), F.col("e.key").alias("tkey")),
-    )
-
-
-def hits(claim_keys: DataFrame, txn_keys: DataFrame, policy: Policy) -> DataFrame:
-    """claim_id, txn_id, kind, abs_delta: every way in which a pair was found."""
-    same = (F.col("kind") == F.col("tkind")) & (F.col("key") == F.col("tkey"))
+    suffix = F.when(F.length("ref_norm") >= SUFFIX, F.right("ref_norm", F.lit(SUFFIX)))
+    own = {0: _entry(0, _known(F.col("ref_norm"))), 1: _entry(1, _known(F.col("ref_conf"))), 2: _entry(2, suffix), TIME: _entry(TIME, F.lit("")), 4: _entry(4, money)}
+    none = F.array().cast("array<struct<kind:int,key:string>>")
+
+    def entries(more: Column | None) -> Column | None:
+        plain = [own[k] for k in sorted(kinds & own.keys())]
+        arrays = ([F.array(*plain)] if plain else []) + ([F.coalesce(more, none)] if more is not None else [])
+        return F.concat(*arrays) if arrays else None
+
+    c, t = claims.withColumn("at", F.col("anchor_s")), ledger.withColumn("at", F.col("occurred_s"))
+    if kinds & {0, 1, 2}:
+        c, t = with_keys(c, F.col("reference_id")), with_keys(t, ledger_reference())
+    claim_rows = _keys_of(c, entries(probes if 5 in kinds else None), kinds, "claim_id", "c", table)
+    return claim_rows, _keys_of(t, entries(F.array(_entry(5, money)) if 5 in kinds else None), kinds, "txn_id", "t", table)
+
+
+def key_hits(claim_keys: DataFrame, txn_keys: DataFrame) -> DataFrame:
+    """claim_id, txn_id, kind, abs_delta: every way in which a key found a pair."""
+    c, t = claim_keys.withColumnRenamed("at", "cat"), txn_keys.withColumnRenamed("at", "tat")
+    same = (F.col("ckind") == F.col("tkind")) & (F.col("ckey") == F.col("tkey"))
     ways = [
-        claim_keys.where("cm is not null").join(txn_keys.where("tm is not null"), same & (F.col("cm") == F.col("tm"))),
-        claim_keys.where("cm is null").join(txn_keys, same),
-        claim_keys.where("cm is not null").join(txn_keys.where("tm is null"), same),
+        c.where("cm is not null").join(t.where("tm is not null"), same & (F.col("cm") == F.col("tm"))),
+        c.where("cm is null").join(t, same),
+        c.where("cm is not null").join(t.where("tm is null"), same),
     ]
     every = ways[0].unionByName(ways[1]).unionByName(ways[2])
-    delta = F.abs(F.col("occurred_s") - F.col("anchor_s"))
-    return every.where((F.col("kind") != 3) | (delta <= policy.time_window_s)).select("claim_id", "txn_id", "kind", delta.alias("abs_delta"))
+    return every.select("claim_id", "txn_id", F.col("ckind").alias("kind"), F.abs(F.col("tat") - F.col("cat")).alias("abs_delta"))
+
+
+def band_hits(claims: DataFrame, ledger: DataFrame, window_s: int) -> DataFrame:
+    """claim_id, txn_id, kind, abs_delta of all pairs within the window: an equi-join on (merchant, day), the exact band on top.
+
+    Everything in the window comes out, so its size follows the ledger's density; retrieve() needs only the nearest.
+    """
+    days = F.sequence(F.floor((F.col("anchor_s") - window_s) / DAY), F.floor((F.col("anchor_s") + window_s) / DAY))
+    entry = lambda d: _entry(TIME, d)
+    c = claims.select("claim_id", F.col("merchant_id").alias("cm"), F.col("anchor_s").alias("at"), F.explode(F.transform(days, entry)).alias("e")).selectExpr("claim_id", "cm", "at", "e.kind AS ckind", "e.key AS ckey")
+    t = ledger.select("txn_id", F.col("merchant_id").alias("tm"), F.col("occurred_s").alias("at"), entry(F.floor(F.col("occurred_s") / DAY)).alias("e")).selectExpr("txn_id", "tm", "at", "e.kind AS tkind", "e.key AS tkey")
+    return key_hits(c, t).where(F.col("abs_delta") <= window_s)
+
+
+def _lines(merchant: Column, *more: str) -> Column:
+    """Suffixes of the lines that a row is in: its merchant's, or the one of rows without a merchant."""
+    own = F.when(merchant.isNotNull(), F.concat(F.lit("m"), merchant)).otherwise("none")
+    return F.array(own, *[F.lit(x) for x in more])
+
+
+def _asked_lines(merchant: Column) -> Column:
+    """Lines that a claim looks through: its merchant's and the one without a merchant; without a merchant all rows."""
+    return F.when(merchant.isNotNull(), F.array(F.concat(F.lit("m"), merchant), F.lit("none"))).otherwise(F.array(F.lit("all")))
+
+
+def _numbered(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """rows (line, t, id) and points (line, t, side, id, what) with up, down and total.
+
+    up: a row's number in its line by (t, id), or how many rows are before the
+    point (side 0) or at and before it (side 2); down: a row's number by (t, id
+    descending); total: the line's rows. Lines are numbered slot by slot and the
+    slots' sums added, so no task has a whole line.
+    """
+    every = rows.select("line", "t", F.lit(1).alias("side"), "id", F.lit("row").alias("what")).unionByName(points).withColumn("slot", F.floor(F.col("t") / SLOT_S))
+    one = (F.col("what") == "row").cast("long")
+    upto = W.partitionBy("line", "slot").orderBy("t", "side", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    tied = W.partitionBy("line", "slot").orderBy("t").rangeBetween(W.unboundedPreceding, W.currentRow)
+    local = every.select("*", F.sum(one).over(upto).alias("n"), F.sum(one).over(tied).alias("n_tied"), F.sum(one).over(W.partitionBy("line", "slot", "t")).alias("ties"))
+    sums = every.groupBy("line", "slot").agg(F.sum(one).alias("c"))
+    line = W.partitionBy("line")
+    before = F.coalesce(F.sum("c").over(line.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = sums.select(F.col("line").alias("sl"), F.col("slot").alias("ss"), before.alias("base"), F.sum("c").over(line).alias("total"))
+    placed = local.join(bases, (F.col("line") == F.col("sl")) & (F.col("slot") == F.col("ss")))
+    return placed.select("line", "t", "id", "what", (F.col("base") + F.col("n")).alias("up"), (F.col("base") + 2 * F.col("n_tied") - F.col("ties") + 1 - F.col("n")).alias("down"), "total")
+
+
+def near_hits(claim_keys: DataFrame, txn_keys: DataFrame, window_s: int, most: int) -> DataFrame:
+    """claim_id, txn_id, kind, abs_delta: of each key's rows the ``most`` nearest in time before and after the claim.
+
+    Of equal times the smaller txn_id is nearer; TIME has those within the window
+    alone. Rows meet on (line, number), which no two rows of the ledger share.
+    """
+    lone = bool(claim_keys.where("cm is null").take(1))
+    line = lambda kind, key, m: F.concat_ws("|", F.col(kind), F.col(key), m)
+    c = claim_keys.where("at is not null").withColumn("m", F.explode(_asked_lines(F.col("cm")))).select(line("ckind", "ckey", F.col("m")).alias("line"), F.col("at").alias("t"), F.lit(0).alias("side"), F.col("claim_id").alias("id"), F.lit("own").alias("what"))
+    t = txn_keys.where("at is not null").withColumn("m", F.explode(_lines(F.col("tm"), *(["all"] if lone else [])))).select(line("tkind", "tkey", F.col("m")).alias("line"), F.col("at").alias("t"), F.col("txn_id").alias("id"))
+    placed = _numbered(t, c)
+    ways = F.array(F.struct(F.lit(1).alias("way"), F.col("up").alias("n")), F.struct(F.lit(0).alias("way"), F.col("down").alias("n")))
+    index = placed.where("what = 'row'").select(F.col("line").alias("il"), F.explode(ways).alias("w"), F.col("id").alias("txn_id"), F.col("t").alias("it"))
+    run = lambda a, b, way: F.when(a <= b, F.transform(F.sequence(a, b), lambda n: F.struct(F.lit(way).alias("way"), n.alias("n")))).otherwise(F.array().cast("array<struct<way:int,n:bigint>>"))
+    wanted = F.concat(run(F.col("up") + 1, F.least("total", F.col("up") + most), 1), run(F.greatest(F.lit(0), F.col("up") - most) + 1, F.col("up"), 0))
+    asked = placed.where("what = 'own'").select(F.col("id").alias("claim_id"), "line", "t", F.explode(wanted).alias("a"))
+    met = asked.join(index, (F.col("line") == F.col("il")) & (F.col("a.way") == F.col("w.way")) & (F.col("a.n") == F.col("w.n")))
+    kind = F.substring("line", 1, 1).cast("int")
+    out = met.select("claim_id", "txn_id", kind.alias("kind"), F.abs(F.col("it") - F.col("t")).alias("abs_delta"))
+    return out.where((F.col("kind") != TIME) | (F.col("abs_delta") <= window_s))
+
+
+def count_in_band(claims: DataFrame, ledger: DataFrame, window_s: int) -> DataFrame:
+    """claim_id, in_band: how many rows of the ledger lie within the window of each claim, by numbers alone."""
+    lone = bool(claims.where("merchant_id is null").take(1))
+    c = claims.where("anchor_s is not null").select("claim_id", "anchor_s", F.explode(_asked_lines(F.col("merchant_id"))).alias("line"))
+    end = lambda t, side, what: F.struct(t.alias("t"), F.lit(side).alias("side"), F.lit(what).alias("what"))
+    ends = F.array(end(F.col("anchor_s") - window_s, 0, "low"), end(F.col("anchor_s") + window_s, 2, "high"))
+    points = c.select("line", F.explode(ends).alias("p"), F.col("claim_id").alias("id")).select("line", "p.t", "p.side", "id", "p.what")
+    rows = ledger.where("occurred_s is not null").select(F.explode(_lines(F.col("merchant_id"), *(["all"] if lone else []))).alias("line"), F.col("occurred_s").alias("t"), F.col("txn_id").alias("id"))
+    placed = _numbered(rows, points).where("what <> 'row'")
+    return placed.groupBy(F.col("id").alias("claim_id")).agg(F.sum(F.when(F.col("what") == "high", F.col("up")).otherwise(-F.col("up"))).alias("in_band"))
+
+
+def _by_claim(found: DataFrame) -> DataFrame:
+    """One shuffle, by claim, in a stated number of parts: hits are many more than the keys that they come from."""
+    return found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "claim_id")
+
+
+def candidates(claims: DataFrame, ledger: DataFrame, policy: Policy, names: bool = True) -> DataFrame:
+    """claim_id, txn_id, group_rank, abs_delta, position: the candidates that retrieve() gives, without their kinds and counts.
+
+    A pair beyond the max_candidates nearest of a key has that many pairs before
+    it whose kind is no later, so it is no candidate by that key.
+    """
+    near = {TIME, 4, 5, NAME} if names else {TIME, 4, 5}
+    found = key_hits(*blocking_keys(claims, ledger, policy, {0, 1, 2}))
+    found = found.unionByName(near_hits(*blocking_keys(claims, ledger, policy, near), policy.time_window_s, policy.max_candidates))
+    pairs = _by_claim(found).groupBy("claim_id", "txn_id").agg(F.min("kind").alias("group_rank"), F.min("abs_delta").alias("abs_delta"))
+    order = W.partitionBy("claim_id").orderBy("group_rank", "abs_delta", "txn_id")
+    return pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= policy.max_candidates)
 
 
 def retrieve(claims: DataFrame, ledger: DataFrame, policy: Policy, names: bool = True) -> DataFrame:
     """claim_id, txn_id, kinds, group_rank, abs_delta, position, examined, truncated: at most max_candidates a claim.
 
     Order: the first kind that found the pair, distance in time to the anchor,
-    txn_id. Of the reference kinds only the narrowest is named.
+    txn_id. Of the reference kinds only the narrowest is named. examined counts
+    all pairs that any kind finds.
     """
-    found = hits(*blocking_keys(claims, ledger, policy, names), policy)
-    pairs = found.groupBy("claim_id", "txn_id").agg(F.min("kind").alias("group_rank"), F.min("abs_delta").alias("abs_delta"), F.sort_array(F.collect_set("kind")).alias("ks"))
-    narrow = F.filter("ks", lambda k: (k > 2) | (k == F.array_min("ks")))
-    pairs = pairs.withColumn("kinds", F.transform(narrow, lambda k: F.get(F.array(*[F.lit(x) for x in KINDS]), k))).drop("ks")
-    counts = pairs.groupBy(F.col("claim_id").alias("cid")).agg(F.count("*").alias("examined"))
+    by_key = key_hits(*blocking_keys(claims, ledger, policy, {0, 1, 2, 4, 5, NAME} if names else {0, 1, 2, 4, 5}))
+    near = near_hits(*blocking_keys(claims, ledger, policy, {TIME}), policy.time_window_s, policy.max_candidates)
+    counts = count_in_band(claims, ledger, policy.time_window_s)
+    inside = F.coalesce(F.col("abs_delta") <= policy.time_window_s, F.lit(False))
+    bit = lambda kind: F.call_function("shiftleft", F.lit(1), kind)
+    timed = bit(F.lit(TIME))
+    found = by_key.select("claim_id", "txn_id", bit(F.col("kind")).bitwiseOR(F.when(inside, timed).otherwise(0)).alias("bits"), "abs_delta")
+    found = found.unionByName(near.select("claim_id", "txn_id", timed.alias("bits"), "abs_delta"))
+    pairs = _by_claim(found).groupBy("claim_id", "txn_id").agg(F.bit_or("bits").alias("bits"), F.min("abs_delta").alias("abs_delta"))
+    has = lambda k: F.col("bits").bitwiseAND(bit(F.lit(k))) != 0
+    pairs = pairs.withColumn("group_rank", F.coalesce(*[F.when(has(k), k) for k in range(len(KINDS))]))
+    # Those in the window are counted by rank, whether their rows are here or not.
+    outside = F.sum((~has(TIME)).cast("long")).over(W.partitionBy("claim_id"))
     order = W.partitionBy("claim_id").orderBy("group_rank", "abs_delta", "txn_id")
-    capped = pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= policy.max_candidates)
-    return capped.join(counts, F.col("claim_id") == F.col("cid")).drop("cid").withColumn("truncated", F.col("examined") > policy.max_candidates)
+    ranked = pairs.select("*", F.row_number().over(order).alias("position"), outside.alias("outside")).where(F.col("position") <= policy.max_candidates)
+    out = ranked.join(counts.withColumnRenamed("claim_id", "cid"), F.col("claim_id") == F.col("cid"), "left")
+    examined = (F.col("outside") + F.coalesce("in_band", F.lit(0))).alias("examined")
+    named = lambda k: F.when(has(k) & (F.col("group_rank") == k) if k <= 2 else has(k), KINDS[k])
+    kinds = F.array_compact(F.array(*[named(k) for k in range(len(KINDS))])).alias("kinds")
+    return out.select("claim_id", "txn_id", kinds, "group_rank", "abs_delta", "position", examined, (examined > policy.max_candidates).alias("truncated"))

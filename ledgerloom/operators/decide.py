@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.amounts import material, power_of_ten_multiple
-from ..functions.names import name_metrics, name_tokens
+from ..functions.names import alignment, mask_metrics, name_tokens
 from ..functions.times import hour_offset, is_precise
 from ..policy import DEFAULT, ENGINE_VERSION, RULESET_VERSION, Policy
-from .blocking import ledger_reference, retrieve, with_keys
+from ..storage import Tables
+from .blocking import candidates, ledger_reference, with_keys
 from .conflicts import earliest_allocations, proof_conflicts
-from .idf import idf, name_documents, weights_of
+from .idf import idf, name_documents
 from .ladders import CONTRADICT, aggregate_score, amount_ladder, name_ladder, reference_ladder, timestamp_ladder, timestamp_similarity
+from .names import similar_tokens, with_weights
 
 # Fixed values.
 TRUSTED = ["MERCHANT_LEDGER", "PROVIDER_API", "SIMULATOR"]
@@ -26,35 +26,59 @@ TAMPER_CODES = ["IMAGE_EXIF_MISSING", "IMAGE_EDITOR_SIGNATURE", "IMAGE_ELA_ANOMA
 CONFIDENCE_KEYS = {"reference": ["reference", "reference_id"], "amount": ["amount"], "timestamp": ["timestamp"], "sender_name": ["sender_name"]}
 
 
-def score_candidates(claims: DataFrame, ledger: DataFrame, pairs: DataFrame, policy: Policy, names: bool = True) -> DataFrame:
-    """One row a pair: four outcomes and the aggregate score."""
-    c = with_keys(claims, F.col("reference_id")).withColumn("c_tokens", name_tokens(F.col("sender_name")))
-    t = with_keys(ledger, ledger_reference()).withColumn("t_tokens", name_tokens(F.col("sender_name")))
-    if names:
-        c = weights_of(c, "c_tokens", idf(name_documents(ledger), policy.name_idf_floor, scoring=True), "c_weights", "claim_id")
-    else:
-        c = c.withColumn("c_weights", F.array().cast("array<double>"))
+@dataclass(frozen=True)
+class NameField:
+    """A name column compared by the name ladder; weight: None for the policy's."""
+
+    column: str = "sender_name"
+    weight: float | None = None
+
+
+SENDER = (NameField(),)
+
+
+def name_fields(names: bool | tuple[NameField, ...]) -> tuple[NameField, ...]:
+    return SENDER if names is True else tuple(names or ())
+
+
+def score_candidates(claims: DataFrame, ledger: DataFrame, pairs: DataFrame, policy: Policy, names: bool | tuple[NameField, ...] = True) -> DataFrame:
+    """One row a pair: an outcome for each field and the aggregate score. names: the name columns to compare (True: the sender's).
+
+    With names, pairs are read three times; decide() gives them as a written table.
+    """
+    more = name_fields(names)
+    c, t = with_keys(claims, F.col("reference_id")), with_keys(ledger, ledger_reference())
+    p = pairs.select(F.col("claim_id").alias("p_claim"), "txn_id", "group_rank", "abs_delta")
+    table = idf(name_documents(ledger), policy.name_idf_floor, scoring=True) if more else None
+    for f in more:
+        x = f.column
+        t = t.withColumns({f"tt_{x}": name_tokens(F.col(x)), f"tn_{x}": F.col(x)})
+        c = with_weights(c, x, table, f"ct_{x}", f"cw_{x}")
+        alike = similar_tokens(pairs, c.select("claim_id", F.col(f"ct_{x}").alias("tokens")), t.select("txn_id", F.col(f"tt_{x}").alias("tokens")), policy.name_pair_min_t)
+        c = c.join(alike.select(F.col("claim_id").alias("sc"), F.col("similar").alias(f"cs_{x}")), F.col("claim_id") == F.col("sc"), "left").drop("sc")
     t = t.select(
         F.col("txn_id").alias("t_id"), F.col("amount_minor").alias("t_amount"), F.col("currency").alias("t_currency"), F.col("occurred_s").alias("t_at"), F.col("sender_name").alias("t_sender"),
-        F.col("source").alias("t_source"), ledger_reference().alias("t_reference"), F.col("ref_norm").alias("t_ref"), F.col("ref_conf").alias("t_conf"), "t_tokens",
+        F.col("source").alias("t_source"), ledger_reference().alias("t_reference"), F.col("ref_norm").alias("t_ref"), F.col("ref_conf").alias("t_conf"), *[x for f in more for x in (f"tt_{f.column}", f"tn_{f.column}")],
     )
-    p = pairs.select(F.col("claim_id").alias("p_claim"), "txn_id", "kinds", "group_rank", "abs_delta", "examined", "truncated")
-    both = p.join(c, F.col("p_claim") == F.col("claim_id")).join(t, F.col("txn_id") == F.col("t_id")).drop("p_claim", "t_id")
+    # Dealt by claim in a stated number of parts: comparing is dear for its bytes, and the ranking needs no other shuffle.
+    parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = p.join(t, F.col("txn_id") == F.col("t_id")).repartition(parts, "p_claim").join(c, F.col("p_claim") == F.col("claim_id")).drop("p_claim", "t_id")
     sim = timestamp_similarity(F.col("occurred_s"), F.col("granularity_s"), F.col("date_inferred"), F.col("t_at"), policy)
     both = both.withColumn("ts_sim", sim)
-    if names:
-        m = name_metrics(policy.name_strong_t, policy.name_pair_min_t)(F.col("sender_name"), F.col("c_tokens"), F.col("t_sender"), F.col("t_tokens"), F.col("c_weights"))
-        both = both.withColumn("name_m", m)
-        name = name_ladder("sender_name", F.col("c_tokens"), F.col("t_tokens"), F.col("name_m"), policy)
+    for f in more:
+        x = f.column
+        both = both.withColumns({
+            f"m_{x}": alignment(F.col(f"ct_{x}"), F.col(f"tt_{x}"), F.col(f"cw_{x}"), F.coalesce(f"cs_{x}", F.array().cast("array<struct<a:string,b:string,sim:double>>")), policy.name_pair_min_t),
+            f"mask_{x}": mask_metrics(F.col(x), F.col(f"ct_{x}"), F.col(f"tn_{x}"), F.col(f"tt_{x}"), policy.name_strong_t),
+        })
     both = both.withColumns({
         "o_reference": reference_ladder(F.col("ref_norm"), F.col("t_ref"), F.col("ref_conf"), F.col("t_conf"), policy),
         "o_amount": amount_ladder(F.col("amount_minor"), F.col("t_amount"), F.col("currency") == F.col("t_currency"), policy),
         "o_timestamp": timestamp_ladder(F.col("occurred_s"), F.col("granularity_s"), F.col("date_inferred"), F.col("t_at"), F.col("ts_sim"), policy),
-    })
+        **{f"o_{f.column}": name_ladder(f.column, F.col(f"ct_{f.column}"), F.col(f"tt_{f.column}"), F.col(f"m_{f.column}"), F.col(f"mask_{f.column}"), policy) for f in more},
+    }).drop(*[f"{k}_{f.column}" for f in more for k in ("ct", "cw", "cs", "tt", "tn")])
     outcomes = [(F.col("o_reference"), policy.w_reference), (F.col("o_amount"), policy.w_amount), (F.col("o_timestamp"), policy.w_timestamp)]
-    if names:
-        both = both.withColumn("o_sender_name", name)
-        outcomes.append((F.col("o_sender_name"), policy.w_sender_name))
+    outcomes += [(F.col(f"o_{f.column}"), policy.w_sender_name if f.weight is None else f.weight) for f in more]
     return both.withColumn("score", aggregate_score(outcomes, policy))
 
 
@@ -78,7 +102,7 @@ class Rule:
 
 
 def rules(policy: Policy) -> list[Rule]:
-    """The table, in order; columns are those of build_context()."""
+    """The table, in order (its ids, statuses, risks and reasons are fixed values); columns are those of build_context()."""
     acc = F.col("best_score") >= policy.tau_accept
     return [
         Rule("R010", F.col("best_txn").isNull(), "UNMATCHED", "MEDIUM", ("NO_CANDIDATES",)),
@@ -142,13 +166,14 @@ def amount_axes(expected: Column, ledger: Column, claim: Column, same_currency:
     }
 
 
-def build_context(claims: DataFrame, orders: DataFrame, allocations: DataFrame, proofs: DataFrame, ranked: DataFrame, policy: Policy, names: bool = True) -> DataFrame:
+def build_context(claims: DataFrame, orders: DataFrame, allocations: DataFrame, proofs: DataFrame, ranked: DataFrame, policy: Policy, names: bool | tuple[NameField, ...] = True) -> DataFrame:
     """One wide row a claim: the best candidate, amounts, conflicts, doubts."""
-    fields = ["reference", "amount", "timestamp", *(["sender_name"] if names else [])]
+    more = name_fields(names)
+    fields = ["reference", "amount", "timestamp", *[f.column for f in more]]
     best = ranked.where("rnk = 1").select(
-        F.col("claim_id").alias("b_claim"), F.col("txn_id").alias("best_txn"), F.col("score").alias("best_score"), "margin", "dominant", "n_candidates", "examined", "truncated",
+        F.col("claim_id").alias("b_claim"), F.col("txn_id").alias("best_txn"), F.col("score").alias("best_score"), "margin", "dominant", "n_candidates",
         F.col("t_amount"), F.col("t_currency"), F.col("t_at"), F.col("t_sender"), F.col("t_source").alias("best_source"), F.col("t_reference"),
-        *[F.col(f"o_{f}") for f in fields], *([F.col("name_m")] if names else []),
+        *[F.col(f"o_{f}") for f in fields], *[F.col(f"{k}_{f.column}") for f in more for k in ("m", "mask")],
     )
     o = orders.select(F.col("order_id").alias("o_id"), "expected_minor", F.col("currency").alias("o_currency"))
     ctx = proof_conflicts(claims, proofs).join(best, F.col("claim_id") == F.col("b_claim"), "left").join(o, F.col("order_id") == F.col("o_id"), "left").drop("b_claim", "o_id")
@@ -178,21 +203,27 @@ def build_context(claims: DataFrame, orders: DataFrame, allocations: DataFrame,
     }).withColumn("ambiguous", F.col("indistinguishable") & (F.col("best_score") >= policy.tau_ambiguous))
 
 
-@F.pandas_udf(T.DoubleType())
-def _round3(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: round(x, 3))  # of the exact binary value, which no Spark rounding gives
+def round3(x: Column) -> Column:
+    """x in 0..1 to three places, half-even by its exact binary value, which Spark's rounding of printed digits is not.
+
+    x is split so that 2000 x - (2 n + 1), whose sign decides, comes out exact.
+    """
+    n = F.floor(x * 1000).cast("double")
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    rest = (high * 2000 - (2 * n + 1)) + (x - high) * 2000
+    return F.when((rest > 0) | ((rest == 0) & (n % 2 == 1)), n + 1).otherwise(n) / 1000
 
 
-def confidence(policy: Policy, exact_rounding: bool = True) -> Column:
+def confidence(policy: Policy) -> Column:
     coverage = F.when(F.size("evidence") > 0, F.size(F.filter("evidence", lambda e: e["agreement"] != "MISSING")) / F.size("evidence")).otherwise(0.0)
-    raw = 0.5 * F.col("best_score") + 0.3 * F.least(F.lit(1.0), F.col("margin") / max(policy.tau_margin, 1e-9)) + 0.2 * coverage
-    return _round3(F.least(F.lit(1.0), raw)) if exact_rounding else F.least(F.lit(1.0), raw)
+    raw = 0.5 * F.col("best_score") + 0.3 * F.least(F.lit(1.0), F.col("margin") / F.greatest(F.lit(policy.tau_margin), F.lit(1e-9))) + 0.2 * coverage
+    return round3(F.least(F.lit(1.0), raw))
 
 
-def decisions(ctx: DataFrame, policy: Policy, names: bool = True) -> DataFrame:
-    """Rules applied to a context: status, risk, reasons, observations, matched transaction, stamps, violations."""
+def decisions(ctx: DataFrame, policy: Policy, names: bool | tuple[NameField, ...] = True, table: list[Rule] | None = None) -> DataFrame:
+    """Rules applied to a context: status, risk, reasons, observations, matched transaction, stamps, violations. table: rules of one's own."""
     none = F.array().cast("array<string>")
-    d = ctx.withColumn("fired", first_match(rules(policy)))
+    d = ctx.withColumn("fired", first_match(rules(policy) if table is None else table))
     amount_codes = F.array_compact(F.array(
         F.when(F.col("relation") == "EXACT", "AMOUNT_EXACT").when(F.col("relation") == "UNDER", "AMOUNT_UNDERPAID").when(F.col("relation") == "OVER", "AMOUNT_OVERPAID").otherwise("MISSING_ORDER_AMOUNT"),
         F.when((F.col("relation") == "OVER") & F.col("material_overpayment"), "AMOUNT_OVERPAID_MATERIAL"),
@@ -209,8 +240,9 @@ def decisions(ctx: DataFrame, policy: Policy, names: bool = True) -> DataFrame:
         F.when(seen & ~F.coalesce("tz_stated", F.lit(False)), "TIME_TZ_ASSUMED"),
         F.when(seen & off.isNotNull(), "TIME_WHOLE_HOUR_OFFSET"),
     ]
-    if names:
-        notes += [F.when(F.col("name_m.mask_present"), "NAME_MASKED"), F.when((F.col("name_m.pairs") > 0) & (F.col("name_m.idf_score") < policy.name_common_idf_t), "NAME_COMMON_TOKENS_ONLY")]
+    for f in name_fields(names):
+        m = F.col(f"m_{f.column}")
+        notes += [F.when(F.col(f"mask_{f.column}.present"), "NAME_MASKED"), F.when((m["pairs"] > 0) & (m["idf_score"] < policy.name_common_idf_t), "NAME_COMMON_TOKENS_ONLY")]
     observations = F.array_distinct(F.concat(F.coalesce("observations", none), F.coalesce("notes", none), F.array_compact(F.array(*notes))))
     hide = (F.col("fired.status") == "UNMATCHED") | F.col("indistinguishable") | ~F.col("fired.reads_ranking")
     d = d.withColumns({"reasons": reasons, "all_observations": observations, "matched_txn_id": F.when(~hide, F.col("best_txn")), "confidence": confidence(policy)})
@@ -237,7 +269,7 @@ def anchored(claims: DataFrame) -> DataFrame:
     return claims.withColumn("anchor_s", F.coalesce("occurred_s", "now_s"))
 
 
-def decide(claims: DataFrame, orders: DataFrame, ledger: DataFrame, allocations: DataFrame, proofs: DataFrame, policy: Policy = DEFAULT, names: bool = True, pairs: DataFrame | None = None, ranked: DataFrame | None = None) -> DataFrame:
+def decide(claims: DataFrame, orders: DataFrame, ledger: DataFrame, allocations: DataFrame, proofs: DataFrame, policy: Policy = DEFAULT, names: bool | tuple[NameField, ...] = True, pairs: DataFrame | None = None, ranked: DataFrame | None = None, table: list[Rule] | None = None) -> DataFrame:
     """One row a claim.
 
     claims: claim_id, merchant_id, order_id, amount_minor, currency, sender_name, receiver_name, reference_id,
@@ -246,11 +278,15 @@ def decide(claims: DataFrame, orders: DataFrame, ledger: DataFrame, allocations:
     orders: order_id, expected_minor, currency. allocations: txn_id, order_id, verification_id, allocated_s.
     proofs: sha256, order_id, order_ref, verification_id, submitted_s.
     A broken invariant is named in ``violation``; it does not stop the batch.
-    pairs: candidates retrieved before, for policies that differ in nothing that retrieval reads.
+    pairs: candidates() of before, for policies that differ in nothing that retrieval reads.
     ranked: candidates ranked before, for policies that differ in DECISION_KNOBS alone.
+    names: the name columns to compare (True: the sender's; False: none, and none retrieved by).
+    table: rules in place of rules(policy); they read the columns of build_context() and pass check_rules().
     """
     c = anchored(claims)
     if ranked is None:
-        pairs = retrieve(c, ledger, policy, names) if pairs is None else pairs
+        if pairs is None:
+            pairs = candidates(c, ledger, policy, bool(names))
+            pairs = Tables(c.sparkSession).write(pairs, "pairs") if names else pairs
         ranked = rank(score_candidates(c, ledger, pairs, policy, names))
-    return decisions(build_context(c, orders, allocations, proofs, ranked, policy, names), policy, names)
+    return decisions(build_context(c, orders, allocations, proofs, ranked, policy, names), policy, names, table)

@@ -52,7 +52,7 @@ def lookup(table: dict[str, str], key: Column) -> Column:
 
 
 def observation_line(code: Column) -> Column:
-    ref = F.trim(F.substring(code, len(REUSE_PREFIX) + 1, 10_000))
+    ref = F.trim(code.substr(F.lit(len(REUSE_PREFIX) + 1), F.length(code)))
     reuse = F.when(ref != "", F.concat(F.lit("This same screenshot was submitted for order "), ref)).otherwise("This same screenshot was submitted before")
     return F.when(code.startswith(REUSE_PREFIX), reuse).otherwise(F.coalesce(lookup(OBSERVATIONS, code), code))
 
@@ -86,7 +86,7 @@ def summary() -> Column:
         F.when(has("SOURCE_PARTIALLY_TRUSTED"), PARTIALLY_TRUSTED),
         F.when(has("LOW_EXTRACTION_CONFIDENCE"), LOW_CONFIDENCE),
     )
-    earlier = F.get(F.filter(F.transform(F.filter("observations", lambda o: o.startswith(REUSE_PREFIX)), lambda o: F.trim(F.substring(o, len(REUSE_PREFIX) + 1, 10_000))), lambda r: r != ""), F.lit(0))
+    earlier = F.get(F.filter(F.transform(F.filter("observations", lambda o: o.startswith(REUSE_PREFIX)), lambda o: F.trim(o.substr(F.lit(len(REUSE_PREFIX) + 1), F.length(o)))), lambda r: r != ""), F.lit(0))
     status = F.col("status")
     return (
         F.when(status == "VERIFIED", F.when(verified != "", verified).otherwise("This payment matches a transaction in your feed."))

@@ -34,12 +34,3 @@ def idf(names: DataFrame, floor: float, scoring: bool) -> DataFrame:
         seen.select(F.col("merchant_id").alias("m"), F.col("token").alias("t")), F.col("merchant_id").eqNullSafe(F.col("m")) & (F.col("token") == F.col("t")), "left_anti"
     )
     return seen.unionByName(seeds.select("merchant_id", "token", F.lit(0).cast("long").alias("df"), F.lit(floor).alias("idf")))
-
-
-def weights_of(rows: DataFrame, tokens_col: str, table: DataFrame, out: str, key: str) -> DataFrame:
-    """rows with ``out``: the weights of the row's tokens, in order; unknown tokens weigh 1. key: a unique column."""
-    each = rows.select(key, "merchant_id", F.posexplode(tokens_col).alias("pos", "token"))
-    met = each.join(table.select(F.col("merchant_id").alias("m"), F.col("token").alias("t"), "idf"), F.col("merchant_id").eqNullSafe(F.col("m")) & (F.col("token") == F.col("t")), "left")
-    back = met.groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("idf", F.lit(1.0)).alias("w")))).alias("x"))
-    back = back.select("k", F.transform("x", lambda r: r["w"]).alias(out))
-    return rows.join(back, F.col(key) == F.col("k"), "left").drop("k").withColumn(out, F.coalesce(out, F.array().cast("array<double>")))

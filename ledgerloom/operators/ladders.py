@@ -57,7 +57,7 @@ def reference_ladder(a: Column, b: Column, ca: Column, cb: Column, policy: Polic
     both = (F.length(a) > 0) & (F.length(b) > 0)
     short, long_ = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     enough = both & (F.length(short) >= least)
-    return ladder("reference", [
+    return ladder("reference", [  # Fixed values: codes, labels, scores
         Level("REF_EXACT", "Exact match", 1.0, AGREE, both & (a == b)),
         Level("REF_CONFUSABLE", "Match after correcting look-alike characters", 0.90, AGREE, both & (ca == cb)),
         Level("REF_SUFFIX", "Ends with the same characters", 0.75, AGREE, enough & F.endswith(long_, short)),
@@ -71,7 +71,7 @@ def amount_ladder(claim: Column, ledger: Column, same_currency: Column, policy:
     both = claim.isNotNull() & ledger.isNotNull()
     ok = both & F.coalesce(same_currency, F.lit(False))
     t = policy.amount_tolerance_minor
-    return ladder("amount", [
+    return ladder("amount", [  # Fixed values: codes, labels, scores
         Level("AMT_EXACT", "Amount matches the transaction exactly", 1.0, AGREE, ok & (claim == ledger)),
         Level("AMT_TOLERANCE", "Amount matches within the permitted tolerance", 0.90, AGREE, ok & (F.abs(claim - ledger) <= t)),
         Level("AMT_SCALED", "Amounts differ by a factor of ten", 0.35, CONTRADICT, ok & (power_of_ten_multiple(claim, ledger) | power_of_ten_multiple(ledger, claim))),
@@ -91,7 +91,7 @@ def timestamp_ladder(start_s: Column, granularity_s: Column, date_inferred: Colu
     precise = is_precise(granularity_s, date_inferred)
     both = start_s.isNotNull() & txn_s.isNotNull()
     off = F.when(precise, hour_offset((start_s - txn_s).cast("double"), policy.hour_artifact_tol_s))
-    return ladder("timestamp", [
+    return ladder("timestamp", [  # Fixed values: codes, labels, scores
         Level("TS_TIGHT", "Same time as the transaction", 1.0, AGREE, both & precise & (sim >= policy.ts_sim_tight_t)),
         Level("TS_CLOSE", "Within a few minutes of the transaction", 0.85, AGREE, both & precise & (sim >= policy.ts_sim_close_t)),
         Level("TS_DATE_ONLY", "Same day as the transaction", 0.60, WEAK, both & (sim >= policy.ts_sim_close_t)),
@@ -102,14 +102,14 @@ def timestamp_ladder(start_s: Column, granularity_s: Column, date_inferred: Colu
     ])
 
 
-def name_ladder(field: str, claim_tokens: Column, truth_tokens: Column, m: Column, policy: Policy) -> Column:
-    """m: the struct of name_metrics()."""
+def name_ladder(field: str, claim_tokens: Column, truth_tokens: Column, m: Column, masks: Column, policy: Policy) -> Column:
+    """m, masks: the structs of alignment() and mask_metrics()."""
     both = (F.size(claim_tokens) > 0) & (F.size(truth_tokens) > 0)
     telling = m["idf_score"] >= policy.name_common_idf_t
-    return ladder(field, [
+    return ladder(field, [  # Fixed values: codes, labels, scores
         Level("NAME_EXACT", "Exact match", 1.0, AGREE, both & (claim_tokens == truth_tokens) & telling),
-        Level("NAME_STRONG", "Strong match (minor spelling difference)", 0.90, AGREE, ~m["mask_present"] & ~m["initials"] & (m["token_score"] >= policy.name_strong_t) & telling),
-        Level("NAME_MASK_OK", "Consistent with masked name", 0.85, AGREE, m["mask_ok"]),
+        Level("NAME_STRONG", "Strong match (minor spelling difference)", 0.90, AGREE, ~masks["present"] & ~m["initials"] & (m["token_score"] >= policy.name_strong_t) & telling),
+        Level("NAME_MASK_OK", "Consistent with masked name", 0.85, AGREE, masks["ok"]),
         Level("NAME_INITIALS", "Match with initials expanded", 0.80, AGREE, m["initials"] & (m["token_score"] >= policy.name_initials_t)),
         Level("NAME_PARTIAL", "Partial match (shared name component)", 0.55, WEAK, (m["pairs"] >= 1) & telling),
         Level("NAME_COMMON_ONLY", "Only a very common name matched", 0.20, WEAK, (m["pairs"] >= 1) & ~telling),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from ..operators.decide import DECISION_KNOBS, RETRIEVAL_KNOBS, anchored, decide
 from ..policy import DEFAULT
 from ..sources import tables
 from ..sources.testdata import duck_ctes, views
+from ..storage import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,12 +102,15 @@ def unique_transactions(spark, sf):
 # ---- blocking joins: each kind through the one join
 
 
-def _hits(spark, sf, kind: str, names_too: bool = False) -> DataFrame:
+def _hits(spark, sf, kind: str) -> DataFrame:
     v = views(spark, sf)
-    c = v["claims"].withColumn("anchor_s", F.coalesce("occurred_s", "now_s"))
-    ck, tk = blocking.blocking_keys(c, settled(v), DEFAULT, names=names_too)
+    c, t = anchored(v["claims"]), settled(v)
     number = blocking.KINDS.index(kind)
-    return blocking.hits(ck.where(F.col("kind") == number), tk.where(F.col("tkind") == number), DEFAULT).select("claim_id", "txn_id").distinct()
+    if number == blocking.TIME:
+        found = blocking.band_hits(c, t, DEFAULT.time_window_s)
+    else:
+        found = blocking.key_hits(*blocking.blocking_keys(c, t, DEFAULT, {number}))
+    return found.select("claim_id", "txn_id").distinct()
 
 
 def _pairs(where: str) -> str:
@@ -153,7 +156,7 @@ def join_amount_probe(spark, sf):
 
 @query()
 def join_name_key(spark, sf):
-    return _hits(spark, sf, "NAME_PHONETIC", names_too=True)
+    return _hits(spark, sf, "NAME_PHONETIC")
 
 
 GROUPS = """, h AS (
@@ -171,15 +174,13 @@ k AS (SELECT *, count(*) OVER (PARTITION BY claim_id) AS examined, row_number()
 @query(BOTH + PROBES + GROUPS + "SELECT claim_id, txn_id, group_rank, abs_delta, position, examined, examined > 25 AS truncated FROM k WHERE position <= 25")
 def blocking_union_top25(spark, sf):
     v = views(spark, sf)
-    c = v["claims"].withColumn("anchor_s", F.coalesce("occurred_s", "now_s"))
-    return blocking.retrieve(c, settled(v), DEFAULT, names=False).drop("kinds")
+    return blocking.retrieve(anchored(v["claims"]), settled(v), DEFAULT, names=False).drop("kinds")
 
 
 @query()
 def candidate_provenance(spark, sf):
     v = views(spark, sf)
-    c = v["claims"].withColumn("anchor_s", F.coalesce("occurred_s", "now_s"))
-    return blocking.retrieve(c, settled(v), DEFAULT).select("claim_id", "txn_id", F.array_join("kinds", "|").alias("kinds"))
+    return blocking.retrieve(anchored(v["claims"]), settled(v), DEFAULT).select("claim_id", "txn_id", F.array_join("kinds", "|").alias("kinds"))
 
 
 # ---- ladders, ranking and the decision without names, which SQL can say in full
@@ -208,9 +209,9 @@ CORE = BOTH + PROBES + GROUPS + LADDERS
 
 def _ranked(spark, sf, with_names: bool = False) -> DataFrame:
     v = views(spark, sf)
-    c = v["claims"].withColumn("anchor_s", F.coalesce("occurred_s", "now_s"))
-    t = settled(v)
-    return rank(score_candidates(c, t, blocking.retrieve(c, t, DEFAULT, with_names), DEFAULT, with_names))
+    c, t = anchored(v["claims"]), settled(v)
+    pairs = blocking.candidates(c, t, DEFAULT, with_names)
+    return rank(score_candidates(c, t, Tables(spark).write(pairs, "pairs") if with_names else pairs, DEFAULT, with_names))
 
 
 @query(CORE + "SELECT claim_id, txn_id, rc AS code, rs AS score FROM x")
@@ -230,7 +231,7 @@ def ladder_timestamp(spark, sf):
 
 @query()
 def ladder_name(spark, sf):
-    return _ranked(spark, sf, True).select("claim_id", "txn_id", F.col("o_sender_name.code").alias("code"), F.round("name_m.idf_score", 9).alias("idf_score"))
+    return _ranked(spark, sf, True).select("claim_id", "txn_id", F.col("o_sender_name.code").alias("code"), F.round("m_sender_name.idf_score", 9).alias("idf_score"))
 
 
 @query(CORE + "SELECT claim_id, txn_id, score, round(margin, 9) AS margin, ne = 1 AND rc = 'REF_EXACT' AND rnk = 1 AS dominant, CAST(rnk AS INT) AS rnk FROM r WHERE rnk <= 3")
@@ -345,7 +346,7 @@ SELECT c.claim_id, t.txn_id, f.o AS allocated_to, f.o IS NOT NULL AND (c.order_i
 )
 def alloc_conflict(spark, sf):
     v = views(spark, sf)
-    own = v["claims"].select("claim_id", "order_id", F.concat(F.lit("TX"), F.substring("claim_id", 3, 20)).alias("txn_id")).join(v["ledger"].select("txn_id"), "txn_id", "left_semi")
+    own = v["claims"].select("claim_id", "order_id", F.concat(F.lit("TX"), F.col("claim_id").substr(F.lit(3), F.length("claim_id"))).alias("txn_id")).join(v["ledger"].select("txn_id"), "txn_id", "left_semi")
     return conflicts.allocation_conflicts(own, tables.active_allocations(v["allocations"])).select("claim_id", "txn_id", "allocated_to", "conflict")
 
 
@@ -449,8 +450,7 @@ def amount_probes(spark, sf):
 @query("WITH t AS (SELECT DISTINCT n_name AS x FROM nation), p AS (SELECT lower(a.x) AS a, lower(b.x) AS b FROM t a, t b) SELECT a, b, round(jaro_winkler_similarity(a, b), 9) AS sim FROM p")
 def jaro_winkler(spark, sf):
     n = spark.read.parquet(f"{sf}/nation.parquet").select(F.lower("n_name").alias("a")).distinct()
-    sim = F.udf(lambda a, b: round(names.jaro_winkler(a, b), 9), "double", useArrow=True)
-    return n.crossJoin(n.withColumnRenamed("a", "b")).withColumn("sim", sim("a", "b"))
+    return n.crossJoin(n.withColumnRenamed("a", "b")).withColumn("sim", F.round(names.jaro_winkler(F.col("a"), F.col("b")), 9))
 
 
 # ---- reports and workflow
@@ -506,11 +506,10 @@ def plateau(spark, sf):
 @query()
 def policy_sweep(spark, sf):
     v = views(spark, sf)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
     c, t, allocs = anchored(v["claims"]), settled(v), tables.active_allocations(v["allocations"])
-    pairs = blocking.retrieve(c, t, DEFAULT).checkpoint()  # once for all policies that retrieve alike
-    best = rank(score_candidates(c, t, pairs, DEFAULT)).where("rnk = 1").checkpoint()  # once for all that score alike; decisions read the first rank
+    kept = Tables(spark)
+    pairs = kept.write(blocking.candidates(c, t, DEFAULT), "pairs")  # once for all policies that retrieve alike
+    best = kept.write(rank(score_candidates(c, t, pairs, DEFAULT)).where("rnk = 1"), "best")  # once for all that score alike; decisions read the first rank
 
     def run(p):
         moved = {k for k in p.knobs() if getattr(p, k) != getattr(DEFAULT, k)}
@@ -594,5 +593,5 @@ def extract_claims(spark, sf):
 
 @query("SELECT l_returnflag AS status, l_linestatus AS band, count(*) AS items, count_if(l_quantity > 25)::BIGINT AS large, min(l_orderkey) AS first_order FROM lineitem GROUP BY ALL")
 def category_counts(spark, sf):
-    l = spark.read.parquet(f"{sf}/lineitem.parquet")
-    return l.groupBy(F.col("l_returnflag").alias("status"), F.col("l_linestatus").alias("band")).agg(F.count("*").alias("items"), F.count_if(F.col("l_quantity") > 25).alias("large"), F.min("l_orderkey").alias("first_order"))
+    l = spark.read.parquet(f"{sf}/lineitem.parquet").withColumnsRenamed({"l_returnflag": "status", "l_linestatus": "band"})
+    return aggregates.category_counts(l, ["status", "band"], F.col("l_quantity") > 25, "l_orderkey").withColumnsRenamed({"flagged": "large", "first_id": "first_order"})

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, names, text, times
-from ledgerloom.operators import decide, ladders, sweep
+from ledgerloom.operators import decide, explain, ladders, sweep
 from ledgerloom.policy import DEFAULT, Policy
 
 
@@ -66,11 +69,84 @@ def test_timestamps(spark):
 def test_names(spark):
     assert one(spark, "Mr. Mohammed  Bin-Ahmed s/o José", names.name_tokens) == ["muhammad", "ahmad", "jose"]
     assert one(spark, None, names.name_tokens) == []
-    assert round(names.jaro_winkler("zulqarnain", "zulqarnian"), 2) == 0.98 and round(names.jaro_winkler("ali", "zulqarnain"), 3) == 0.456
-    assert names.token_similarity("a", "ali") == 0.9 and names.token_similarity("", "ali") == 0.0
-    assert names.align(["ali", "khan"], ["khan"], {"khan": 0.5}, 0.7) == (0.5, 0.25, 1, False)
-    assert names.mask_tokens("A*** Khan") == [("a", "a", True, 3), ("khan", "khan", False, 0)]
-    assert (names.metaphone("thompson"), names.metaphone("knight"), names.nysiis("macdonald"), names.nysiis("")) == ("TMSN", "NFT", "MCDANALD", "") or names.metaphone("knight")
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "jw", "sim"),
+    [
+        ("zulqarnain", "zulqarnian", 0.98, 0.98), ("ali", "zulqarnain", 0.455556, 0.455556), ("martha", "marhta", 0.961111, 0.961111), ("dixon", "dicksonx", 0.813333, 0.813333),
+        ("dwayne", "duane", 0.84, 0.84), ("a", "ali", 0.8, 0.9), ("", "ali", 0.0, 0.0), ("", "", 1.0, 1.0), ("abc", "xyz", 0.0, 0.0), ("khan", "khan", 1.0, 1.0),
+    ],
+)
+def test_similarity(spark, a, b, jw, sim):
+    d = spark.createDataFrame([(a, b)], "a string, b string")
+    got = d.select(names.jaro_winkler(F.col("a"), F.col("b")), names.token_similarity(F.col("a"), F.col("b")), names.token_similarity(F.col("a"), F.col("b"), 0.7)).first()
+    assert round(got[0], 6) == jw and round(got[1], 6) == sim and got[2] in (got[1], 0.0) and (got[2] == got[1] or got[1] < 0.7)
+
+
+@pytest.mark.parametrize(
+    ("claim", "truth", "weights", "similar", "want"),
+    [
+        (["ali", "khan"], ["khan"], [1.0, 0.5], [], (0.5, 0.25, 1, False)),
+        (["a", "ali", "khan"], ["ali", "khan"], [1.0, 1.0, 1.0], [], (2 / 3, 2 / 3, 2, False)),  # the initial doesn't take what the whole token needs
+        (["m", "muhammad"], ["muhammad", "mahmood"], [1.0, 0.15], [], (0.95, 0.525, 2, True)),
+        (["ali", "ali"], ["ali"], [0.15, 0.15], [], (0.5, 0.075, 1, False)),
+        (["reza"], ["raza", "iqbal"], [2.0], [("reza", "raza", 0.85)], (0.425, 0.425, 1, False)),
+        (["reza"], ["raza"], [1.0], [("reza", "raza", 0.69)], (0.0, 0.0, 0, False)),
+        ([], ["khan"], [], [], (0.0, 0.0, 0, False)), (["khan"], [], [None], [], (0.0, 0.0, 0, False)),
+    ],
+)
+def test_alignment(spark, claim, truth, weights, similar, want):
+    d = spark.createDataFrame([(claim, truth, weights, similar)], "c array<string>, t array<string>, w array<double>, s array<struct<a:string,b:string,sim:double>>")
+    got = d.select(names.alignment(F.col("c"), F.col("t"), F.col("w"), F.col("s"), 0.7).alias("m")).first()["m"]
+    assert tuple(got)[2:] == want[2:] and tuple(got)[:2] == pytest.approx(want[:2])
+
+
+@pytest.mark.parametrize(
+    ("claim", "truth", "want"),
+    [
+        ("MUHAMMAD A***", "Muhammad Ali", (True, True, 3)), ("A*** Khan", "Ali Khan", (True, True, 3)), ("**** ****", "Ali Khan", (True, False, 8)), ("B*** Khan", "Ali Khan", (True, False, 3)),
+        ("Ali Khan", "Ali Khan", (False, False, 0)), ("Axxx K••", "Ali Khan", (True, True, 5)), ("Al** Khan", "A*** Khan", (True, True, 5)), (None, "A***", (True, False, 3)), (None, None, (False, False, 0)),
+        ("Mohd A***", "Muhammad Ali Raza", (True, True, 3)), ("José M***", "Jose Marti", (True, True, 3)), ("***", "***", (True, False, 6)),
+    ],
+)
+def test_masks(spark, claim, truth, want):
+    d = spark.createDataFrame([(claim, truth)], "c string, t string")
+    c, t = F.col("c"), F.col("t")
+    assert tuple(d.select(names.mask_metrics(c, names.name_tokens(c), t, names.name_tokens(t), 0.92).alias("m")).first()["m"]) == want
+
+
+def test_phonetic_codes():
+    """Codes that follow from Philips' rules of 1990 (TH is theta, initial WH is W, GH before T silent) and from NYSIIS."""
+    metaphone = {"metaphone": "MTFN", "knight": "NT", "thumb": "0M", "wrack": "RK", "gnome": "NM", "whole": "WL", "judge": "JJ", "science": "SNS", "muhammad": "MHMT", "mohammed": "MHMT", "qureshi": "KRX", "chaudhry": "XTR", "asthma": "ASTM", "": ""}
+    nysiis = {"macdonald": "MCDANALD", "knuth": "NAT", "phillipson": "FALAPSAN", "schmidt": "SNAD", "": ""}
+    assert {k: names.metaphone(k) for k in metaphone} == metaphone
+    assert {k: names.nysiis(k) for k in nysiis} == nysiis
+
+
+def test_unicode_stays_in_the_jvm(spark):
+    rows = ["ﬁﬁ Ｆｕｌｌ １２", "e\u0301x", "½ Ⅳ", "𝟙𝟚 ٣", "각", None, "plain"]
+    d = spark.createDataFrame([(x,) for x in rows], "x string")
+    made = d.select("x", text.normal_form(F.col("x"), True).alias("c"), text.normal_form(F.col("x"), False).alias("d"), text.fold_digits(F.col("x")).alias("g"), names.name_tokens(F.col("x")).alias("n"))
+    for r in made.collect():
+        if r["x"] is not None:
+            assert r["c"] == unicodedata.normalize("NFKC", r["x"]) and r["d"] == unicodedata.normalize("NFKD", r["x"])
+            assert r["g"] == "".join(str(unicodedata.digit(c)) if c.isdigit() else c for c in r["x"])
+    assert "Python" not in made._jdf.queryExecution().toString() and "Arrow" not in made._jdf.queryExecution().toString()
+
+
+def test_long_references_are_whole(spark):
+    ref = "S" * 20_000
+    d = spark.createDataFrame([(["PROOF_PREVIOUSLY_SUBMITTED:" + ref],)], "o array<string>")
+    assert d.select(text.earlier_order_ref(F.col("o"), F.lit(""), F.lit("x")).alias("r")).first()["r"] == ref
+    assert d.select(explain.observation_line(F.col("o")[0]).alias("r")).first()["r"].endswith(ref)
+
+
+def test_round3(spark):
+    rng = random.Random(3)
+    values = [rng.random() for _ in range(3000)] + [k / 2000 for k in range(2001)] + [k / 16 for k in range(17)] + [0.0, 1.0]
+    d = spark.createDataFrame([(x,) for x in values], "x double")
+    assert all(r["y"] == round(r["x"], 3) for r in d.select("x", decide.round3(F.col("x")).alias("y")).collect())
 
 
 def test_money_and_lists(spark):
