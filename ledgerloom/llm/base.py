@@ -1,61 +1,20 @@
-"""What the operators share: the shared folder, written intermediate tables, word rules."""
+"""What the operators share: written intermediate tables, word rules, names of their own columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Tables, new_path, remove, shared_dir
+
+__all__ = ["SPACES", "WORD", "Tables", "ascii_lower", "fresh", "let", "new_path", "remove", "shared_dir", "table"]
+
 #: Words are runs of anything but a space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = spark.sparkContext.getCheckpointDir()
-    if not got:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
-        got = spark.sparkContext.getCheckpointDir()
-    return got
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Tables:
-    """Intermediate tables in the shared folder. They cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.paths: dict[int, str] = {}
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._own_path = path  # keeps id() from being reused while the path is wanted
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Deletes tables that no later result reads."""
-        for x in frames:
-            remove(self.spark, self.paths.pop(id(x)))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ from .base import Tables
 
 
 def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """id, component (the least id reachable) for every id in edges (a, b).
+    """id, component (the least id reachable) for every id in edges (a, b). Edges with a null are left out.
 
     Each round hooks every node to its least neighbour, follows the links to
     their roots and contracts the graph; rounds are logarithmic in its size.
@@ -23,13 +23,13 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = tables.write(links.select(F.col("a").alias("id"), F.col("a").alias("component")), "labels")
         if not links.take(1):
+            tables.keep(labels)
             return labels
         while True:
             above = links.select(F.col("a").alias("x"), F.col("p").alias("y"))
             jumped = tables.write(links.join(above, F.col("p") == F.col("x")).select("a", F.col("y").alias("p"), (F.col("y") != F.col("p")).alias("moved")), "links")
             tables.drop(links)
-            links = jumped.select("a", "p")
-            tables.paths[id(links)] = tables.paths.pop(id(jumped))
+            links = jumped
             if not jumped.where("moved").take(1):
                 break
         step = links.select(F.col("a").alias("x"), "p")
@@ -40,4 +40,5 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
         tables.drop(now)
         now = contracted
         if not now.take(1):
+            tables.keep(labels)
             return labels

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 
 import pytest
@@ -50,9 +51,51 @@ def test_odd_rows(spark):
     assert M.mix(docs.limit(0)).count() == 0
 
 
+def brute_multiplier(sizes, target, cap=M.CAP):
+    """Bisection on sum(size min(cap, exp(lam size))) = target over single documents."""
+    lo, hi = -50.0, 50.0
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        taken = sum(x * min(cap, math.exp(min(700.0, mid * x))) for x in sizes)
+        lo, hi = (mid, hi) if taken < target else (lo, mid)
+    return (lo + hi) / 2
+
+
+def test_rates_are_the_optimum_of_single_documents(spark, sf):
+    """Every document's own rate equals that of a brute-force optimiser, and no multiplier is the logarithm of target by size."""
+    d = M.op2_mix(spark, sf).toPandas()
+    below = 0
+    for s in d.source.unique():
+        own = d[d.source == s] if s is not None else d[d.source.isna()]
+        size, target = own.source_size.iloc[0], own.target.iloc[0]
+        if target >= M.CAP * size * (1 - 1e-9):
+            assert (own.rate[own["size"] > 0] > M.CAP - 1e-6).all()
+            continue
+        lam = brute_multiplier(own["size"].tolist(), target)
+        want = [min(M.CAP, math.exp(lam * x)) for x in own["size"]]
+        assert own.rate.tolist() == pytest.approx(want, rel=1e-5, abs=1e-7)
+        assert own.rate.nunique() == own["size"][own.rate < M.CAP].nunique() + bool((own.rate >= M.CAP).any()) and abs(lam - math.log(target / size)) > 1e-4
+        below += 1
+    assert below
+
+
 def test_prior_rates_reach_their_targets(spark):
-    classes = spark.createDataFrame([("a", 1.0, 100), ("a", 0.2, 300), ("b", 1.0, 50), ("c", 1.0, 10)], "source string, q double, tokens long")
-    targets = spark.createDataFrame([("a", 120.0), ("b", 97.9), ("c", 0.0)], "source string, target double")
-    lam = {r["source"]: r["lam"] for r in M.solve_rates(classes, targets).collect()}
-    rate = lambda q, s: min(2.0, q * 2.718281828459045 ** lam[s])
-    assert 100 * rate(1.0, "a") + 300 * rate(0.2, "a") == pytest.approx(120.0) and 50 * rate(1.0, "b") == pytest.approx(97.9)
+    rows = [("a", 1.0, 100, 1), ("a", 0.2, 30, 10), ("b", 1.0, 5, 10), ("c", 1.0, 10, 1), (None, 1.0, 7, 4)]
+    classes = spark.createDataFrame(rows, "source string, q double, size long, n long")
+    targets = spark.createDataFrame([("a", 120.0, 400, 11), ("b", 97.9, 50, 10), ("c", 0.0, 10, 1), (None, 9.0, 28, 4)], "source string, target double, source_size long, n long")
+    lam = {r["of"]: r["lam"] for r in M.solve_rates(classes, targets).collect()}
+    for s, want in (("a", 120.0), ("b", 97.9), (None, 9.0)):
+        assert sum(n * x * min(M.CAP, q * math.exp(lam[s] * x)) for t, q, x, n in rows if t == s) == pytest.approx(want)
+
+
+def test_many_sources_are_salted(spark, monkeypatch):
+    data = [(i, " ".join(["w"] * (1 + i % 50)), f"s{i % 7}") for i in range(2000)]
+    rows = spark.createDataFrame(data, "id long, text string, source string").select("id", M.count_words(F.col("text")).alias("size"), "source", F.lit(0).alias("mark"))
+    plain = sorted((r["id"], r["total"]) for r in M.copies(rows).collect())
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
+    assert sorted((r["id"], r["total"]) for r in M.copies(rows).collect()) == plain
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 7, 8, "x")], "doc_id long, text string, source string, size int, __size int, mark string")
+    assert {tuple(r) for r in M.mix(docs).collect()} <= {(1, "a b", "s", 7, 8, "x")} and M.mix(docs).columns == docs.columns
