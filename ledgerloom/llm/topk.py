@@ -1,12 +1,14 @@
 """Exact top-k inner products over norm-sorted, SVD-rotated blocks.
 
-Vectors are dealt into ranges of descending length and packed into blocks. An
-SVD of all of them (through their Gram matrix) gives a rotation that moves most
-of the length into the first coordinates. For each block of queries a task goes
-through its blocks in order: where ||q|| ||x|| is below the query's k-th best
-score the whole block is skipped; else the partial product over the leading
-rotated coordinates plus the Cauchy-Schwarz bound on the rest discards most
-pairs; what is left is scored in exact integers.
+Vectors are dealt into ranges of descending length and packed into blocks. The
+SVD of a bounded sample (through its Gram matrix; any rotation is exact, a good
+one prunes more) gives a rotation that moves most of the length into the first
+coordinates. Groups of packs meet all blocks of queries: a task holds its packs,
+longest first, and the queries' blocks pass by it, each with its queries' k-th
+best scores among the longest vectors of all. Where ||q|| ||x|| is below the
+query's k-th best score the rest of the packs is skipped; else the partial
+product over the leading rotated coordinates plus the Cauchy-Schwarz bound on
+the rest discards most pairs; what is left is scored in exact integers.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from .base import Tables, table
 
 K = 20
 SCALE = 64
-#: Vectors in a packed block, and queries that are broadcast at a time (their number times the dimension bounds the broadcast).
-BLOCK, QUERY_BLOCK = 2_048, 8_192
+#: Vectors in a pack, and queries in a block.
+BLOCK, QUERY_BLOCK = 2_048, 1_024
+#: Bytes of packs that one task holds; the queries' blocks are dealt to several tasks of one group of packs while there are fewer than TASKS.
+GROUP_BYTES, TASKS = 32_000_000, 64
+#: The rotation is fitted on about so many vectors, chosen by hash, in so many parts.
+SAMPLE_VECTORS, SAMPLE_PARTS = 65_536, 8
 #: Leading rotated coordinates: as many as hold LEAD_SHARE of the squared length, a half of all at most.
 LEAD_SHARE = 0.8
 #: Pairs scored at a time.
@@ -32,8 +38,8 @@ CHUNK_PAIRS = 1 << 21
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """id, v: floor(scale * component), norm. Vectors that are null, empty or hold null or non-finite components are left out, null ids too."""
-    ok = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(
+    """id, v: floor(scale * component), norm. Vectors that are null or hold null or non-finite components are left out, null ids too; empty ones are in."""
+    ok = F.col(vector_col).isNotNull() & F.forall(
         vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     )
     v = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
@@ -53,11 +59,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _packer(dim: int):
+def _packer(dim: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
                 m = _matrix(part.column("v"), dim)
                 norm = np.asarray(part.column("norm"))
                 row = [pa.array([x]) for x in (float(norm.max(initial=0.0)), np.asarray(part.column("id")).astype(np.int64).tobytes(), m.astype(np.int64).tobytes())]
@@ -70,14 +76,24 @@ def _grams(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
         for batch in batches:
-            for x in batch.column("vectors"):
-                m = np.frombuffer(x.as_py(), np.int64).reshape(-1, dim).astype(float)
-                total += m.T @ m
+            m = _matrix(batch.column("v"), dim).astype(float)
+            total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["gram"])
 
     return run
 
 
+def fit_rotation(vectors: DataFrame, dim: int, count: int) -> tuple[np.ndarray, int]:
+    """(rotation, leading coordinates) of a bounded sample; SAMPLE_PARTS Gram matrices reach the driver, however large the table is."""
+    share = min(1.0, SAMPLE_VECTORS / max(1, count))
+    drawn = vectors.where(F.pmod(F.xxhash64("id", "norm"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v")
+    rows = drawn.repartition(SAMPLE_PARTS).mapInArrow(_grams(dim), "gram binary").collect()
+    values, rotation = np.linalg.eigh(sum((np.frombuffer(r["gram"], float).reshape(dim, dim) for r in rows), np.zeros((dim, dim))))
+    values, rotation = np.maximum(values[::-1], 0), rotation[:, ::-1]
+    share = np.cumsum(values) / max(values.sum(), 1e-300)
+    return rotation, int(min(max(1, dim // 2), np.searchsorted(share, LEAD_SHARE) + 1))
+
+
 class Best:
     """The k best (score, id) seen for each query; ties to the smaller id."""
 
@@ -135,79 +151,100 @@ class Queries:
                 best.add(some[q[good]], score[good], ids[c[good]])
 
 
+def _seed(shared, k: int, dim: int):
+    """Adds to each block of queries the k-th best of each among the longest vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rotation, lead, ids, vectors, top = shared.value
+        for batch in batches:
+            floors = []
+            for own_ids, own in zip(batch.column("ids"), batch.column("vectors"), strict=True):
+                block = Queries(np.frombuffer(own_ids.as_py(), np.int64), np.frombuffer(own.as_py(), np.int64).reshape(-1, dim), rotation, lead)
+                best = Best(len(block.ids), k)
+                block.search(best, ids, vectors, top)
+                floors.append(best.floor().tobytes())
+            columns = [batch.column(c) for c in ("block", "ids", "vectors")] + [pa.array(floors, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "vectors", "floors"])
+
+    return run
+
+
+def _search(shared, k: int, dim: int):
+    """Rows in the order of group, part, kind: the group's packs (kind 0, longest first) are held, blocks of queries (kind 1) pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rotation, lead = shared.value[:2]
+        held_for, packs = None, []
+        for batch in batches:
+            columns = [batch.column(c) for c in ("g", "part", "kind", "block", "top", "ids", "vectors", "floors")]
+            for g, part, kind, block, top, ids, vectors, floors in zip(*columns, strict=True):
+                here = (g.as_py(), part.as_py())
+                if held_for != here:
+                    held_for, packs = here, []
+                ids, vectors = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(vectors.as_py(), np.int64).reshape(-1, dim)
+                if kind.as_py() == 0:
+                    packs.append((top.as_py(), ids, vectors))
+                    continue
+                own = Queries(ids, vectors, rotation, lead, np.frombuffer(floors.as_py(), np.int64))
+                best = Best(len(ids), k)
+                for pack_top, pack_ids, pack in packs:
+                    own.search(best, pack_ids, pack, pack_top)
+                q, place = np.nonzero(best.ids != np.iinfo(np.int64).max)
+                out = [np.full(len(q), block.as_py()), q, ids[q], best.ids[q, place], best.scores[q, place]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["block", "place", "query_id", "vec_id", "score"])
+
+    return run
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best candidates (all, if fewer) other than those of its own id.
 
     Both frames: id, v (whole numbers), norm, as whole_vectors() gives. Vectors
-    of fewer components than the longest count as ending in zeros. Rows that
-    repeat an id all take part; a repeated query is answered as often as it
-    comes. Raises OverflowError where products don't fit 64 bits. No queries or
-    candidates: no rows.
+    of fewer components than the longest count as ending in zeros, so an empty
+    one scores 0. Rows that repeat an id all take part; a repeated query is
+    answered as often as it comes. Raises OverflowError where products don't fit
+    64 bits. No queries or candidates: no rows.
+
+    Queries never pass through the driver; packs are shuffled once for each part
+    of the queries, which are several only while groups of packs are few.
     """
     spark = candidates.sparkSession
     tables = Tables(spark)
-    dim = max(int(x.agg(F.max(F.size("v"))).first()[0] or 0) for x in (candidates, queries))
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not dim:
-        return empty
+    dim, count = 1, 0
+    for x in (candidates, queries):
+        longest, count = x.agg(F.max(F.size("v")), F.count("*")).first()
+        dim = max(dim, int(longest or 0))
+    count = candidates.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "top double, ids binary, vectors binary"
+    rotation, lead = fit_rotation(candidates, dim, count)
     ranged = candidates.repartitionByRange(parts, F.col("norm").desc(), "id").sortWithinPartitions(F.col("norm").desc(), "id")
-    packs = tables.write(ranged.mapInArrow(_packer(dim), schema), "packs")
-    asked = tables.write(queries.sortWithinPartitions("id").mapInArrow(_packer(dim), schema), "queries").select("ids", "vectors")
-    rows = packs.mapInArrow(_grams(dim), "gram binary").collect()
-    gram = sum(np.frombuffer(r["gram"], float).reshape(dim, dim) for r in rows)
-    values, rotation = np.linalg.eigh(gram)
-    values, rotation = np.maximum(values[::-1], 0), rotation[:, ::-1]
-    share = np.cumsum(values) / max(values.sum(), 1e-300)
-    lead = int(min(max(1, dim // 2), np.searchsorted(share, LEAD_SHARE) + 1))
-    first = packs.orderBy(F.col("top").desc()).limit(1).collect()
-    if not first:
-        return empty
-    seed_ids = np.frombuffer(first[0]["ids"], np.int64)
-    seeds = np.frombuffer(first[0]["vectors"], np.int64).reshape(-1, dim)
-
-    def found(block: Queries, number: int):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            best = Best(len(own.ids), k)
-            for batch in batches:
-                for top, ids, vectors in zip(*(batch.column(c) for c in ("top", "ids", "vectors")), strict=True):
-                    own.search(best, np.frombuffer(ids.as_py(), np.int64), np.frombuffer(vectors.as_py(), np.int64).reshape(-1, dim), top.as_py())
-            q, place = np.nonzero(best.ids != np.iinfo(np.int64).max)
-            columns = [number * QUERY_BLOCK + q, own.ids[q], best.ids[q, place], best.scores[q, place]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "query_id", "vec_id", "score"])
-
-        return packs.mapInArrow(run, "key long, query_id long, vec_id long, score long")
-
-    results, held, number = [], [], 0
-    for row in asked.toLocalIterator():
-        held.append(row)
-        if sum(len(r["ids"]) for r in held) // 8 + BLOCK > QUERY_BLOCK:
-            results.append(tables.write(found(_block(held, rotation, lead, dim, seed_ids, seeds, float(first[0]["top"]), k), number), "best"))
-            held, number = [], number + 1
-    if held:
-        results.append(tables.write(found(_block(held, rotation, lead, dim, seed_ids, seeds, float(first[0]["top"]), k), number), "best"))
-    if not results:
-        return empty
-    every = results[0]
-    for x in results[1:]:
-        every = every.unionByName(x)
-    order = W.partitionBy("key").orderBy(F.col("score").desc(), "vec_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _block(held, rotation, lead, dim, seed_ids, seeds, top, k) -> Queries:
-    """A block of queries whose floors are their k-th best among the longest vectors."""
-    ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in held])
-    vectors = np.concatenate([np.frombuffer(r["vectors"], np.int64).reshape(-1, dim) for r in held])
-    block = Queries(ids, vectors, rotation, lead)
-    best = Best(len(ids), k)
-    block.search(best, seed_ids, seeds, top)
-    block.floors = best.floor().copy()
-    return block
+    packs = tables.write(ranged.mapInArrow(_packer(dim, BLOCK), schema).withColumn("pack", F.monotonically_increasing_id()), "packs")
+    asked = tables.write(queries.sortWithinPartitions("id").mapInArrow(_packer(dim, QUERY_BLOCK), schema).withColumn("block", F.monotonically_increasing_id()), "queries")
+    first = packs.orderBy(F.col("top").desc(), "pack").limit(1).collect()
+    if not first or not asked.take(1):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    longest = np.frombuffer(first[0]["ids"], np.int64), np.frombuffer(first[0]["vectors"], np.int64).reshape(-1, dim), float(first[0]["top"])
+    shared = spark.sparkContext.broadcast((rotation, lead, *longest))  # one pack and one rotation
+    seeded = asked.select(F.hash("block").cast("long").alias("h"), "block", "ids", "vectors").repartition(parts, "h").mapInArrow(_seed(shared, k, dim), "block long, ids binary, vectors binary, floors binary")
+    seeded = tables.write(seeded, "seeded")
+    groups = max(1, -(-count * dim * 8 // GROUP_BYTES))
+    salts = max(1, min(asked.count(), -(-TASKS // groups)))
+    # Packs are dealt round about, so that each group has long and short ones and all take like time.
+    nothing = lambda kind: F.lit(None).cast(kind)
+    dealt = packs.select(
+        F.pmod(F.xxhash64("pack"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part"), F.lit(0).alias("kind"),
+        F.col("pack").alias("block"), "top", "ids", "vectors", nothing("binary").alias("floors"),
+    )
+    passing = seeded.select(
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("part"), F.lit(1).alias("kind"),
+        "block", F.lit(0.0).alias("top"), "ids", "vectors", "floors",
+    )
+    rows = dealt.unionByName(passing).repartition(min(groups * salts, 20_000), "g", "part").sortWithinPartitions("g", "part", "kind", F.col("top").desc(), "block")
+    best = tables.write(rows.mapInArrow(_search(shared, k, dim), "block long, place long, query_id long, vec_id long, score long"), "best")
+    tables.keep(best)
+    order = W.partitionBy("block", "place").orderBy(F.col("score").desc(), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +254,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
-    WHERE embedding IS NOT NULL AND len(embedding) > 0
+    WHERE embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT AS score
     FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
