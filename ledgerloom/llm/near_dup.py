@@ -4,8 +4,8 @@ A register keeps the exponentially spaced, truncated minimum of exponential
 hashes of a set's shingles; sketches of sets merge into their union's by the
 maximum, and equal registers are as likely as the sets are similar. Exact copies
 are one class from the start. Classes that share a band of registers are
-candidates: first each with its band's least class, then, where a band still
-holds several components, across these. Candidates' similarity is estimated
+candidates: first each with its band's hub, a class chosen by hash, then, where a
+band still holds several components, with further ones and across these. Candidates' similarity is estimated
 jointly from their registers by maximum likelihood; those that may reach the
 threshold are compared on their full sets.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Tables, table
+from .base import Tables, fresh, table
 from .components import connected
 from .ngrams import mix64
 from .packing import text_blocks
@@ -35,8 +35,12 @@ THRESHOLD = 75
 LEAST_ESTIMATE = 0.58
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Members that one task compares at a time, or verifies against one class.
-BLOCK = 512
+#: Members on either side that one task compares at a time, and those that one task verifies against one class.
+BLOCK, VERIFY_BLOCK = 512, 64
+#: A band of more members than this is joined by broadcasting its key, lest one task gets it.
+HEAVY = 100_000
+#: While a band of more than BLOCK members holds several components, so many rounds compare it with one class more.
+ROUNDS = 3
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, REGISTERS + 1, dtype=np.uint64) * _G
@@ -170,59 +174,72 @@ def _prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely, "a long, b long")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of group, salt, member: the group's own texts come first and are held."""
-    held_for, held = None, []
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch.column(c) for c in ("g", "salt", "member")]
         for first, texts in text_blocks(batch.column("text")):
             h, ends = shingle_sets(texts)
-            a, b = [], []
-            for k in range(len(texts)):
-                g, salt, member = (c[first + k].as_py() for c in columns)
-                own = h[ends[k] : ends[k + 1]]
-                if member is None:
-                    if held_for != (g, salt):
-                        held_for, held = (g, salt), []
-                    held.append(own.copy())
-                elif held_for == (g, salt):
-                    for x in held:
-                        small, large = (own, x) if len(own) <= len(x) else (x, own)
-                        if not len(small):
-                            continue
-                        place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        common = int((large[place] == small).sum())
-                        if 100 * common >= THRESHOLD * (len(own) + len(x) - common):
-                            a.append(g)
-                            b.append(member)
-                            break
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the documents in ids (column id)."""
+            sets = [h[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(sets, pa.binary())], ["doc_id", "set"])
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, tables: Tables) -> DataFrame:
+    """doc_id, set (sorted hashes as bytes) of the documents in ids (column id, a table), one row an id, made once."""
     few = ids.count() <= BROADCAST_IDS
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+    return tables.write(texts.mapInArrow(_shingle_rows, "doc_id long, set binary"), "sets")
+
+
+def _set(x) -> np.ndarray:
+    return np.frombuffer(x.as_py(), np.uint64)
+
+
+def _common(small: np.ndarray, large: np.ndarray) -> int:
+    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[place] == small).sum())
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of group, salt, member: the group's own sets come first and are held."""
+    held_for, held = None, []
+    for batch in batches:
+        a, b = [], []
+        for g, salt, member, own in zip(*(batch.column(c) for c in ("g", "salt", "member", "set")), strict=True):
+            here, own = (g.as_py(), salt.as_py()), _set(own)
+            if member.as_py() is None:
+                if held_for != here:
+                    held_for, held = here, []
+                held.append(own)
+            elif held_for == here and len(own):
+                for x in held:
+                    small, large = (own, x) if len(own) <= len(x) else (x, own)
+                    common = _common(small, large) if len(small) else 0
+                    if len(small) and 100 * common >= THRESHOLD * (len(own) + len(x) - common):
+                        a.append(here[0])
+                        b.append(member.as_py())
+                        break
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
     """The pairs (a, b) that link on their full sets, as a table.
 
-    Members are dealt to a with a salt, at most about BLOCK a task group, so a
-    class with very many candidates is spread; its own text goes to each.
+    Members are dealt to a with a salt, about VERIFY_BLOCK a task group, so a
+    class with very many candidates is spread; its own set goes to each.
     """
     pairs = tables.write(pairs.distinct(), "pairs")
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
-    groups = tables.write(groups, "groups")
+    groups = tables.write(pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_BLOCK).cast("int").alias("salts")), "groups")
     salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")
     members = pairs.join(groups.withColumnRenamed("a", "ga"), F.col("a") == F.col("ga")).select(F.col("b").alias("id"), F.col("a").alias("g"), salt.alias("salt"), F.col("b").alias("member"))
     owners = groups.select(F.col("a").alias("id"), F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
     wanted = members.unionByName(owners)
     ids = tables.write(wanted.select("id").distinct(), "ids")
-    rows = wanted.join(_texts_of(docs, ids), F.col("id") == F.col("doc_id")).select("g", "salt", "member", "text")
+    sets = _sets_of(docs, ids, tables)
+    rows = wanted.join(sets, F.col("id") == F.col("doc_id")).select("g", "salt", "member", "set")
     dealt = rows.repartition(F.col("g"), F.col("salt")).sortWithinPartitions("g", "salt", F.col("member").asc_nulls_first())
-    return tables.write(dealt.mapInArrow(_compare, "a long, b long"), "links")
+    links = tables.write(dealt.mapInArrow(_compare, "a long, b long"), "links")
+    tables.drop(pairs, groups, ids, sets)
+    return links
 
 
 def _first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -234,11 +251,14 @@ def _first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _link_group(g: dict, emit: list) -> None:
     """Links between components among the members of one block pair of a band; one for each pair of components.
 
-    A pair is compared in the first band that it shares, and not if one of it
-    is the band's least class, with which all others were compared before.
+    Left are members outside the band's largest component, right are any. A pair
+    is compared in the first band that it shares, once where both are on either
+    side, and not if one of it is the band's hub, with which all were compared.
     """
-    ids, comp, size, reg, sets = g["id"], g["c"], g["n"].astype(float), g["sketch"], g["sets"]
-    left, right = np.flatnonzero(g["bi"] == g["x"]), np.flatnonzero(g["bi"] == g["y"])
+    ids, comp, size, reg, sets = g["id"], g["c"], g["n"].astype(float), g["sketch"], g["set"]
+    left, right = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
+    if not len(left) or not len(right):
+        return
     key = np.int64(g["key"][0]).view(np.uint64)
     band = int(np.argmax(band_keys(reg[:1])[0] == key))
     parent: dict[int, int] = {}
@@ -248,12 +268,12 @@ def _link_group(g: dict, emit: list) -> None:
             x = up
         return x
 
-    rep, one_block = g["rep"][0], g["x"][0] == g["y"][0]
+    hub, odd = g["hub"][0], g["odd"]
     for i in left:
-        if ids[i] == rep:
+        if ids[i] == hub:
             continue
-        js = right[ids[right] > ids[i]] if one_block else right
-        js = js[(comp[js] != comp[i]) & (ids[js] != rep) & (np.minimum(size[js], size[i]) * 100 >= np.maximum(size[js], size[i]) * THRESHOLD)]
+        fits = np.minimum(size[right], size[i]) * 100 >= np.maximum(size[right], size[i]) * THRESHOLD
+        js = right[fits & (comp[right] != comp[i]) & (ids[right] != hub) & (~odd[right] | (ids[right] > ids[i]))]
         if len(js):
             js = js[_first_band(reg[i], reg[js]) == band]
         if len(js):
@@ -262,43 +282,66 @@ def _link_group(g: dict, emit: list) -> None:
         js = js[[root(int(comp[j])) != root(int(comp[i])) for j in js]] if len(js) else js
         if not len(js):
             continue
-        lengths = [len(sets[j]) for j in js]
-        every = np.concatenate([sets[j] for j in js])
-        place = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
-        common = np.add.reduceat(sets[i][place] == every, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-        for j, k in zip(js, common, strict=True):
-            if 100 * int(k) >= THRESHOLD * (len(sets[i]) + len(sets[j]) - int(k)):
+        mine = _set(sets[i])
+        for j in js:
+            if root(int(comp[i])) == root(int(comp[j])):
+                continue
+            other = _set(sets[j])
+            common = _common(mine, other) if len(mine) <= len(other) else _common(other, mine)
+            if 100 * common >= THRESHOLD * (len(mine) + len(other) - common):
                 ci, cj = root(int(comp[i])), root(int(comp[j]))
-                if ci != cj:
-                    parent[max(ci, cj)] = min(ci, cj)
-                    emit.append((int(ids[i]), int(ids[j])))
+                parent[max(ci, cj)] = min(ci, cj)
+                emit.append((int(ids[i]), int(ids[j])))
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of key, x, y: links across components, verified on the full sets where they are found."""
-    names = ["key", "x", "y", "bi", "id", "c", "rep", "n"]
+    names = ["key", "x", "y", "side", "odd", "id", "c", "hub", "n"]
     rest: dict | None = None
-    for batch in batches:
-        for first, texts in text_blocks(batch.column("text")):
-            part = batch.slice(first, len(texts))
-            h, ends = shingle_sets(texts)
-            now = {c: np.asarray(part.column(c)) for c in names} | {"sketch": _registers(part.column("sketch"))}
-            now["sets"] = [h[ends[k] : ends[k + 1]].copy() for k in range(len(texts))]
-            if rest is not None:
-                now = {c: rest[c] + now[c] if c == "sets" else np.concatenate([rest[c], now[c]]) for c in now}
-            cut = np.flatnonzero((np.diff(now["key"]) != 0) | (np.diff(now["x"]) != 0) | (np.diff(now["y"]) != 0)) + 1
-            edges, emit = [0, *cut.tolist()], []
-            for s, e in zip(edges, edges[1:], strict=False):
-                _link_group({c: v[s:e] for c, v in now.items()}, emit)
-            rest = {c: v[edges[-1] :] for c, v in now.items()}
-            if emit:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in emit], pa.int64()) for k in (0, 1)], ["a", "b"])
-    if rest is not None:
-        emit = []
-        _link_group(rest, emit)
+
+    def links(now: dict, edges: list[int]) -> Iterator[pa.RecordBatch]:
+        emit: list[tuple[int, int]] = []
+        for s, e in zip(edges, edges[1:], strict=False):
+            _link_group({c: v[s:e] for c, v in now.items()}, emit)
         if emit:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in emit], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {c: np.asarray(batch.column(c)) for c in names} | {"sketch": _registers(batch.column("sketch")), "set": list(batch.column("set"))}
+        if rest is not None:
+            now = {c: rest[c] + now[c] if c == "set" else np.concatenate([rest[c], now[c]]) for c in now}
+        cut = np.flatnonzero((np.diff(now["key"]) != 0) | (np.diff(now["x"]) != 0) | (np.diff(now["y"]) != 0)) + 1
+        edges = [0, *cut.tolist()]
+        yield from links(now, edges)
+        rest = {c: v[edges[-1] :] for c, v in now.items()}
+    if rest is not None:
+        yield from links(rest, [0, len(rest["id"])])
+
+
+def _members(bands: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, id, hub, size of the bands in keys (k, hub, size): those of very many members by broadcasting their few keys."""
+    heavy = keys.where(F.col("size") > HEAVY)
+    light = keys.where(F.col("size") <= HEAVY)
+    if heavy.count() > BROADCAST_IDS:
+        heavy, light = keys.limit(0), keys
+    both = [bands.join(light, F.col("key") == F.col("k")), bands.join(F.broadcast(heavy), F.col("key") == F.col("k"))]
+    return both[0].unionByName(both[1]).select("key", "id", "hub", "size")
+
+
+def _open_members(members: DataFrame, found: DataFrame, tables: Tables) -> DataFrame:
+    """key, id, hub, size, c, odd of the bands that hold several components; odd: outside the band's largest one."""
+    known = found.select(F.col("id").alias("i"), F.col("component").alias("c"))
+    placed = members.where("size > 2").join(known, F.col("id") == F.col("i"), "left").select("key", "id", "hub", "size", F.coalesce("c", "id").alias("c"))
+    placed = tables.write(placed, "placed")
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
+    open_keys = parts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select(F.col("key").alias("k"), F.col("top.c").alias("most"), F.col("top.m").alias("m"))
+    open_keys = tables.write(open_keys, "open")
+    out = tables.write(placed.join(open_keys, F.col("key") == F.col("k")).select("key", "id", "hub", "size", "c", (F.col("c") != F.col("most")).alias("odd"), (F.col("size") - F.col("m")).alias("odds")), "open-members")
+    tables.drop(placed, open_keys)
+    return out
+
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
@@ -316,33 +359,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")
     )
     nodes = tables.write(classes, "classes")
-    bands = nodes.select("id", "sketch").mapInArrow(_bands, "key long, id long")
-    keys = bands.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("size")).where("rep <> last")
-    keys = tables.write(keys.select(F.col("key").alias("k"), "rep", "size"), "keys")
-    members = tables.write(bands.join(keys, F.col("key") == F.col("k")).select("key", "id", "rep", "size"), "members")
-    stars = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verify(_prune(stars, nodes), base, tables)
-    found = tables.write(connected(spark, links), "components")
-
-    # Bands that still hold several components: their members meet in blocks, which emit only links.
-    known = found.select(F.col("id").alias("i"), F.col("component").alias("c"))
-    placed = members.where("size > 2").join(known, F.col("id") == F.col("i"), "left").select("key", "id", "rep", "size", F.coalesce("c", "id").alias("c"))
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
-    open_keys = tables.write(open_keys, "open")
-    if open_keys.take(1):
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        left = placed.join(open_keys, F.col("key") == F.col("k")).withColumn("bi", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        left = left.select("key", "id", "c", "rep", "bi", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
-        left = tables.write(left.select("key", "id", "c", "rep", "bi", F.least("bi", "o").alias("x"), F.greatest("bi", "o").alias("y")), "residual")
+    bands = tables.write(nodes.select("id", "sketch").mapInArrow(_bands, "key long, id long"), "bands")
+    # A band's hub is chosen by hash, so that the bands of one large group have many hubs between them.
+    drawn = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))
+    keys = bands.groupBy("key").agg(drawn.alias("d"), F.count("*").alias("size")).where("size > 1")
+    keys = tables.write(keys.select(F.col("key").alias("k"), F.col("d.id").alias("hub"), "size"), "keys")
+    members = tables.write(_members(bands, keys), "members")
+    tables.drop(bands)
+    stars = members.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+    links = _verify(_prune(stars.distinct(), nodes), base, tables)
+    found = connected(spark, links)
+    left = _open_members(members, found, tables)
+    for turn in range(ROUNDS):
+        if not left.where((F.col("size") > BLOCK) & (F.col("odds") > 1)).take(1):
+            break
+        # Each large band is compared with one of its odd members more.
+        drawn = F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), F.col("id"), F.col("c")))
+        more = left.where((F.col("size") > BLOCK) & F.col("odd")).groupBy(F.col("key").alias("k")).agg(drawn.alias("d")).select("k", F.col("d.id").alias("next"), F.col("d.c").alias("nc"))
+        more = tables.write(more, "hubs")
+        stars = left.join(F.broadcast(more) if more.count() <= BROADCAST_IDS else more, F.col("key") == F.col("k")).where("c <> nc")
+        stars = stars.select(F.least("next", "id").alias("a"), F.greatest("next", "id").alias("b")).distinct()
+        links = tables.write(links.unionByName(_verify(_prune(stars, nodes), base, tables)), "links")
+        found = connected(spark, links)
+        tables.drop(left, more)
+        left = _open_members(members, found, tables)
+
+    # Bands that still hold several components: those outside the largest meet all members in blocks, which emit only links.
+    if left.take(1):
+        rows_, columns_ = F.ceil(F.col("odds") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
+        at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        seekers = left.where("odd").select("key", "id", "c", "hub", "odd", F.lit(0).alias("side"), at(rows_, 1).alias("x"), every(columns_).alias("y"))
+        sought = left.select("key", "id", "c", "hub", "odd", F.lit(1).alias("side"), every(rows_).alias("x"), at(columns_, 2).alias("y"))
         ids = tables.write(left.select("id").distinct(), "ids")
-        texts = _texts_of(base, ids).join(nodes.select(F.col("id").alias("ni"), "n", "sketch"), F.col("doc_id") == F.col("ni")).drop("ni")
-        dealt = left.join(texts, F.col("id") == F.col("doc_id")).drop("doc_id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+        sets = _sets_of(base, ids, tables)
+        full = tables.write(sets.join(nodes.select(F.col("id").alias("ni"), "n", "sketch"), F.col("doc_id") == F.col("ni")).drop("ni"), "full")
+        dealt = seekers.unionByName(sought).join(full, F.col("id") == F.col("doc_id")).drop("doc_id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "id")
         links = tables.write(links.unionByName(dealt.mapInArrow(_cross, "a long, b long")), "links")
-        found = tables.write(connected(spark, links), "components")
+        found = connected(spark, links)
 
     label = nodes.select("d1", "d2", "n", "id", "copies").join(found.toDF("i", "c"), F.col("id") == F.col("i"), "left")
     label = label.where("copies > 1 or c is not null").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("en"), F.coalesce("c", "id").alias("c"))
     label = tables.write(label, "labels")
+    tables.keep(signed, label)
     same = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("en")) & F.col("doc_id").isNotNull()
     out = signed.drop("sketch").join(label, same, "left")
     component = F.coalesce("c", "doc_id")
@@ -350,12 +409,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without those that are not kept; of rows that repeat a kept doc_id one stays. Null doc_ids stay."""
+    """docs without those that are not kept; of rows that repeat a kept doc_id one stays.
+
+    Null doc_ids stay, and so do null, empty and blank texts. Columns may have
+    any names besides doc_id and text; nulls in them play no part. No rows: none.
+    """
     tables = Tables(docs.sparkSession)
     judged = tables.write(near_duplicates(docs), "judged")
-    gone = tables.write(judged.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    (name,) = fresh(docs, "gone")
+    gone = tables.write(judged.where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(name), "left_anti")
     if judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
         left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
     return left

@@ -46,10 +46,12 @@ def test_query(spark, sf):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_group_of_siblings(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "rounds", "heavy"), [(512, 3, 100_000), (4, 1, 3), (4, 0, 100_000)])
+def test_group_of_siblings(spark, monkeypatch, block, rounds, heavy):
     """Siblings of one text, near the threshold: linked ones and single ones, as brute force has them."""
     monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "ROUNDS", rounds)
+    monkeypatch.setattr(N, "HEAVY", heavy)
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     rows = []
