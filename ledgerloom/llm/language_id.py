@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import table
+from .base import fresh, table
 from .ngrams import code_points, letter_table, mix64
 from .packing import text_blocks
 
@@ -190,9 +190,15 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", lang_col
 
 
 def keep_known(docs: DataFrame, min_score: float = MIN_KNOWN) -> DataFrame:
-    """Documents with a language: those that are 'und', or of whose n-grams the best language holds under min_score, go."""
-    found = identify(docs, learn_filters(docs), lang_col="__lang", score_col="__score")
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents with a language: those that are 'und', or of whose n-grams the best language holds under min_score, go.
+
+    Null and empty texts and those without a letter go. Rows that repeat, and
+    nulls in other columns, are kept as they are; columns may have any names
+    besides text and lang. Without labelled rows every text is 'und'. No rows: none.
+    """
+    lang, score = fresh(docs, "lang_pred", "score")
+    found = identify(docs, learn_filters(docs), lang_col=lang, score_col=score)
+    return found.where((F.col(lang) != "und") & (F.col(score) >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -427,3 +427,21 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, compared on full sets, and the least doc_id that links lead to.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [hash(array_to_string(ws, ' ') || ' ')]
+        ELSE list_transform(range(len(ws) - 4), lambda i: hash(array_to_string(ws[(i + 1)::INTEGER:(i + 5)::INTEGER], ' '))) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT doc_id, min(g) AS a, max(g) AS b, sum(g) AS t, count(*) AS n FROM s GROUP BY 1),
+r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY a, b, t, n) AS rep FROM c),
+d AS (SELECT s.doc_id, g FROM s JOIN r ON r.doc_id = s.doc_id AND rep = s.doc_id),
+x AS (SELECT l.doc_id AS i, m.doc_id AS j, count(*) AS k FROM d l JOIN d m ON l.g = m.g AND l.doc_id < m.doc_id GROUP BY 1, 2),
+e AS (SELECT i, j FROM x JOIN n p ON p.doc_id = i JOIN n q ON q.doc_id = j WHERE 100 * k >= 75 * (p.n + q.n - k) UNION SELECT rep, doc_id FROM r WHERE rep < doc_id),
+b AS (SELECT i, j FROM e UNION SELECT j, i FROM e),
+walk(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.j, walk.c FROM walk JOIN b ON b.i = walk.doc_id WHERE walk.c < b.j),
+f AS (SELECT doc_id, min(c) AS c FROM walk GROUP BY 1)
+SELECT f.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, f.c AS component_id, f.doc_id = f.c AS kept FROM f LEFT JOIN n ON n.doc_id = f.doc_id
+"""

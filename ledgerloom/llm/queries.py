@@ -5,13 +5,13 @@ from __future__ import annotations
 from .fingerprints import op5_fingerprints
 from .language_id import op3_language_id
 from .mixing import op2_mix
-from .near_dup import op4_near_duplicates
+from .near_dup import OP4_SQL, op4_near_duplicates
 from .packing import op10_best_fit_packing
 from .sharding import op6_jump_sharding
 from .topk import OP7_SQL, op7_top_k
 from .toxicity import op9_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
-from .warc import op8_warc
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -27,5 +27,7 @@ QUERIES = {
 }
 ORACLE = {
     "op1_url_filter": OP1_SQL,
+    "op4_near_duplicates": OP4_SQL,
     "op7_top_k": OP7_SQL,
+    "op8_warc": OP8_SQL,
 }

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import table
+from .base import fresh, table
 from .language_id import grams
 from .ngrams import code_points, letter_table, mix64
 from .packing import text_blocks
@@ -210,10 +210,16 @@ def held_out(doc_id) -> F.Column:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents that score under threshold; the others go. All labels teach."""
-    model = learn_toxicity(docs, labels)
-    scored = score_toxicity(docs, model, score_col="__score", predicted_col="__toxic", threshold=threshold)
-    return scored.where("__toxic = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that score under threshold; the others go. All labels teach.
+
+    Null texts count as empty and have the score of an empty text. Rows that
+    repeat, and nulls in other columns, are kept as they are; columns may have
+    any names besides doc_id and text. Without labels of both classes every text
+    has the same score. No rows: none.
+    """
+    score, predicted = fresh(docs, "score", "predicted")
+    scored = score_toxicity(docs, learn_toxicity(docs, labels), score_col=score, predicted_col=predicted, threshold=threshold)
+    return scored.where(F.col(predicted) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ascii_lower, table
+from .base import ascii_lower, fresh, table
 
 #: The rules of op1_url_filter: verdict, host, path.
 RULES = [
@@ -72,9 +72,12 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", keep: tu
     host and all subdomains if the URL's path starts with the rule's. The rule
     with the longest host + path wins, then the longer host, then block. URLs
     that no rule fits, null URLs and those without '://' get ``default``.
+    Raises ValueError if keep names a column host, path, rule or verdict.
     Rows that repeat come back as often as they came; one shuffle, of distinct
     (keep, url), combined before it, so no frequent URL or host makes a hot task.
     """
+    if clash := {c.lower() for c in keep} & {"host", "path", "rule", "verdict"}:
+        raise ValueError(f"kept columns {sorted(clash)} have the names of results")
     spark = urls.sparkSession
     r = (
         rules.select(F.col("verdict").alias("rv"), ascii_lower(F.col("host")).alias("rh"), F.col("path").alias("rp"))
@@ -86,27 +89,29 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", keep: tu
     total, most = r.agg(F.count("*"), F.coalesce(F.max(F.length("rp")), F.lit(0))).first()
     r = r.withColumn("rd", _expression(F.col("rh"), F.col("rp"))).withColumn("rx", _prefix(F.col("rd")))
 
-    n_col, host, path, digest, x = "__n", "__host", "__path", "__digest", "__x"
-    base = urls.select(*keep, F.col(url_col).alias("__url"))
+    kept = urls.select(*keep)
+    url, n_col, host, path, digest, x, salt, won_col, i, rh, rp, rv, rd, rx, rs = fresh(kept, *"url n host path digest x salt won i rh rp rv rd rx rs".split())
+    r = r.withColumnsRenamed({"rh": rh, "rp": rp, "rv": rv, "rd": rd, "rx": rx})
+    base = urls.select(*keep, F.col(url_col).alias(url))
     groups = base.groupBy(*base.columns).agg(F.count("*").alias(n_col))
-    groups = groups.select(*keep, "__url", n_col, url_host(F.col("__url")).alias(host), url_path(F.col("__url")).alias(path))
+    groups = groups.select(*keep, url, n_col, url_host(F.col(url)).alias(host), url_path(F.col(url)).alias(path))
     wide = groups.withColumn(digest, F.explode_outer(_expand(F.col(host), F.col(path), shapes if len(shapes) <= MAX_SHAPES else None, most)))
     wide = wide.withColumn(x, _prefix(F.col(digest)))
     if total <= BROADCAST_RULES:
-        hits = wide.join(F.broadcast(r), F.col(x) == F.col("rx"), "left")
+        hits = wide.join(F.broadcast(r), F.col(x) == F.col(rx), "left")
     else:
-        salted = r.withColumn("rs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        wide = wide.withColumn("__s", F.pmod(F.xxhash64(*keep, "__url"), F.lit(SALTS)).cast("int"))
-        hits = wide.join(salted, (F.col(x) == F.col("rx")) & (F.col("__s") == F.col("rs")), "left")
-    sure = F.col("rd") == F.col(digest)
-    rank = F.when(sure, F.struct(F.length(F.concat("rh", "rp")).alias("a"), F.length("rh").alias("b"), F.col("rv").alias("v"), F.concat("rh", "rp").alias("rule")))
-    won = hits.groupBy(*keep, "__url", n_col, host, path).agg(F.max(rank).alias("__won"))
-    return won.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col(n_col).cast("int")))).select(
+        salted = r.withColumn(rs, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        wide = wide.withColumn(salt, F.pmod(F.xxhash64(*keep, url), F.lit(SALTS)).cast("int"))
+        hits = wide.join(salted, (F.col(x) == F.col(rx)) & (F.col(salt) == F.col(rs)), "left")
+    sure = F.col(rd) == F.col(digest)
+    rank = F.when(sure, F.struct(F.length(F.concat(rh, rp)).alias("a"), F.length(rh).alias("b"), F.col(rv).alias("v"), F.concat(rh, rp).alias("rule")))
+    won = hits.groupBy(*keep, url, n_col, host, path).agg(F.max(rank).alias(won_col))
+    return won.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n_col).cast("int")))).select(
         *keep,
         F.col(host).alias("host"),
         F.col(path).alias("path"),
-        F.col("__won.rule").alias("rule"),
-        F.coalesce("__won.v", F.lit(default)).alias("verdict"),
+        F.col(f"{won_col}.rule").alias("rule"),
+        F.coalesce(f"{won_col}.v", F.lit(default)).alias("verdict"),
     )
 
 

@@ -28,7 +28,7 @@ DICTIONARY_FRAME = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
 #: An archive is closed once it has so many compressed bytes.
 ARCHIVE_BYTES = 32_000_000
-#: The dictionary: its size, and how many payloads (of at most so many bytes together) it is trained on.
+#: The dictionary: its size, and how many payloads (of at most so many characters together) it is trained on.
 DICTIONARY_BYTES, SAMPLE_PAGES, SAMPLE_BYTES = 65_536, 1_000, 8_000_000
 LEVEL = 3
 #: Bytes of a page_id in a record id: RFC 9562 version 8 with the number in the last 8 bytes.
@@ -228,7 +228,7 @@ def write_warc(pages: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYTES,
     share = min(1.0, 4 * SAMPLE_PAGES / max(1, counted))
     sample = pages.where(F.length("html") > 0).where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(share * 1_000_000))
     samples, size = [], 0
-    for (x,) in sample.select("html").where(F.length("html") < 200_000).limit(SAMPLE_PAGES).collect():
+    for (x,) in sample.select("html").where(F.length("html") < SAMPLE_BYTES // SAMPLE_PAGES).limit(SAMPLE_PAGES).collect():
         samples.append(x.encode("utf-8"))
         size += len(samples[-1])
         if size > SAMPLE_BYTES:
@@ -237,7 +237,9 @@ def write_warc(pages: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYTES,
     store, base = pafs.FileSystem.from_uri(root)
     store.create_dir(base, recursive=True)
     out = made.mapInArrow(_writer(root, _train(samples), date, archive_bytes), "path string, records long, bytes long")
-    return tables.write(out, "archives")
+    archives = tables.write(out, "archives")
+    tables.keep(archives)
+    return archives
 
 
 READ_SCHEMA = "page_id long, record_type string, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -299,3 +301,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_warc(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     out = read_warc(archives, with_payload=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: DuckDB has SHA-1 in hex alone: five hex digits are four letters of base32.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(p.h, 5 * (i // 4)::INTEGER + 1, 5))::INTEGER) >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM p JOIN g USING (h)
+"""
