@@ -4,7 +4,7 @@ A register keeps the exponentially spaced, truncated minimum of exponential
 hashes of a set's shingles; sketches of sets merge into their union's by the
 maximum, and equal registers are as likely as the sets are similar. Exact copies
 are one class from the start. Classes that share a band of registers are
-candidates: first each with its band's hub, a class chosen by hash, then, where a
+candidates: first each with its band's hub, its least class, then, where a
 band still holds several components, with further ones and across these. Candidates' similarity is estimated
 jointly from their registers by maximum likelihood; those that may reach the
 threshold are compared on their full sets.
@@ -361,10 +361,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     nodes = tables.write(classes, "classes")
     bands = tables.write(nodes.select("id", "sketch").mapInArrow(_bands, "key long, id long"), "bands")
-    # A band's hub is chosen by hash, so that the bands of one large group have many hubs between them.
-    drawn = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))
-    keys = bands.groupBy("key").agg(drawn.alias("d"), F.count("*").alias("size")).where("size > 1")
-    keys = tables.write(keys.select(F.col("key").alias("k"), F.col("d.id").alias("hub"), "size"), "keys")
+    # A band's hub is its least class: the bands of one large group then have few hubs between them, and few distinct pairs.
+    keys = bands.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    keys = tables.write(keys, "keys")
     members = tables.write(_members(bands, keys), "members")
     tables.drop(bands)
     stars = members.where("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
