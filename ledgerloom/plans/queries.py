@@ -595,3 +595,22 @@ def extract_claims(spark, sf):
 def category_counts(spark, sf):
     l = spark.read.parquet(f"{sf}/lineitem.parquet").withColumnsRenamed({"l_returnflag": "status", "l_linestatus": "band"})
     return aggregates.category_counts(l, ["status", "band"], F.col("l_quantity") > 25, "l_orderkey").withColumnsRenamed({"flagged": "large", "first_id": "first_order"})
+
+
+@query("SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) - CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 18000 END AS at_s FROM orders")
+def readings_in_utc(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.select("o_orderkey", tables.in_utc(F.col("o_orderdate"), F.when(F.col("o_orderkey") % 3 == 0, "UTC")).alias("at_s"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderkey % 4 <> 1 END AS amount_ok, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderkey % 4 <> 2 END AS reference_ok FROM orders")
+def field_validity(spark, sf):
+    o, k = spark.read.parquet(f"{sf}/orders.parquet"), F.col("o_orderkey") % 4
+    amount = F.when(k == 1, "unreadable").when(k != 3, F.concat(F.lit("Rs "), F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string")))
+    reference = F.when(k == 2, "--").when(k != 3, F.concat(F.lit("TID: EP"), F.col("o_orderkey")))
+    return o.select("o_orderkey", tables.field_valid("amount", amount).alias("amount_ok"), tables.field_valid("reference_id", reference).alias("reference_ok"))
+
+
+@query(duck_ctes("claims") + " SELECT claim_id, merchant_id, order_id, amount_minor, currency, sender_name, receiver_name, reference_id, occurred_s, proof_sha256 FROM claims")
+def persisted_claims(spark, sf):
+    return tables.persisted_claims(views(spark, sf)["claims"])

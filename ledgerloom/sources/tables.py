@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.amounts import parse_amount_minor
+from ..functions.text import normalize_reference
 from ..functions.times import parse_timestamp
 
 # Fixed values.
 SOURCES = {"PROVIDER": "PROVIDER_API", "WEBHOOK": "PROVIDER_API", "CSV": "MERCHANT_CSV", "MANUAL": "MANUAL_ENTRY", "DEMO": "SIMULATOR"}
 EDITORS = ["photoshop", "gimp", "canva", "snapseed", "lightroom", "pixlr", "picsart", "paint.net", "affinity"]
 PORTRAIT_RATIOS = [0.5625, 0.4615, 0.4500, 0.4286, 0.5000]
-IMAGE_TYPES = {"jpeg": "ffd8ff", "png": "89504e470d0a1a0a", "webp": "52494646"}
+IMAGE_TYPES = {"jpeg": "^ffd8ff", "png": "^89504e470d0a1a0a", "webp": "^52494646.{8}57454250"}
 
 RAW_CLAIM = T.StructType([T.StructField(c, T.StringType()) for c in ("claim_id", "provider", "amount", "sender_name", "receiver_name", "sender_account", "receiver_account", "reference_id", "timestamp", "full_text", "error_kind")])
 
@@ -66,7 +67,7 @@ def read_images(spark: SparkSession, path: str, max_bytes: int = 10_000_000) ->
     head = F.lower(F.hex(F.substring("content", 1, 12)))
     kind = F.lit(None).cast("string")
     for name, magic in IMAGE_TYPES.items():
-        kind = F.when(head.startswith(magic), name).otherwise(kind)
+        kind = F.when(head.rlike(magic), name).otherwise(kind)
     rows = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), kind.alias("kind"))
     return rows.withColumn("reject_reason", F.when(F.col("bytes") > max_bytes, "TOO_LARGE").when(F.col("kind").isNull(), "UNSUPPORTED_TYPE"))
 
@@ -77,8 +78,8 @@ def plausible_ratio(width: Column, height: Column) -> Column:
 
 
 def editor_signature(metadata: Column) -> Column:
-    """True where a metadata value names an editor."""
-    return F.exists(F.map_values(metadata), lambda v: F.lower(v).rlike("|".join(x.replace(".", r"\.") for x in EDITORS)))
+    """True where a key or value of the metadata names an editor."""
+    return F.exists(F.concat(F.map_keys(metadata), F.map_values(metadata)), lambda v: F.lower(v).rlike("|".join(x.replace(".", r"\.") for x in EDITORS)))
 
 
 def confidence_band(value: Column, refuted: Column) -> Column:
@@ -108,7 +109,34 @@ def extract_claims(raw: DataFrame) -> DataFrame:
 
 
 def write_decisions(decided: DataFrame, path: str, batch_id: str) -> None:
-    """Decisions and their evidence under one batch id, by Spark's commit protocol."""
+    """Decisions and their evidence under one batch id. A batch that is written again replaces itself: no row comes twice."""
     d = decided.withColumn("batch_id", F.lit(batch_id))
-    d.select("batch_id", "claim_id", "status", "risk", "confidence", "reasons", "matched_txn_id", "fired_rule_id", "violation", "policy_fingerprint").write.mode("append").partitionBy("batch_id").parquet(f"{path}/attempts")
-    d.select("batch_id", "claim_id", F.explode("evidence").alias("e")).select("batch_id", "claim_id", "e.*").write.mode("append").partitionBy("batch_id").parquet(f"{path}/evidence")
+    own = ["batch_id", "claim_id", "status", "risk", "confidence", "reasons", "matched_txn_id", "fired_rule_id", "violation", "policy_fingerprint"]
+    parts = {"attempts": d.select(*own), "evidence": d.select("batch_id", "claim_id", F.explode("evidence").alias("e")).select("batch_id", "claim_id", "e.*")}
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/{name}")
+
+
+def in_utc(local: Column, stated_zone: Column | None = None, zone: str = "Asia/Karachi") -> Column:
+    """Epoch seconds of a local reading (timestamp without zone) in its stated zone, else in ``zone``; null: null."""
+    return F.unix_timestamp(F.to_utc_timestamp(local, F.lit(zone) if stated_zone is None else F.coalesce(stated_zone, F.lit(zone))))
+
+
+def field_valid(field: str, raw: Column) -> Column:
+    """True or false where the field has a form that its parser can refuse; null: nothing there, or no form to check."""
+    checks = {"amount": lambda c: parse_amount_minor(c).isNotNull(), "timestamp": lambda c: parse_timestamp(c)["resolved_s"].isNotNull(), "reference_id": lambda c: normalize_reference(c) != ""}
+    return F.when(raw.isNotNull(), checks[field](raw)) if field in checks else F.lit(None).cast("boolean")
+
+
+def persisted_claims(claims: DataFrame) -> DataFrame:
+    """Claims as they are stored: the reading's granularity is not."""
+    return claims.select("claim_id", "merchant_id", "order_id", "amount_minor", "currency", "sender_name", "receiver_name", "reference_id", "occurred_s", "proof_sha256")
+
+
+def extract_with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Raw rows of the first reader; where it failed, but did not refuse, those of the second (both RAW_CLAIM, one row a claim)."""
+    failed = F.coalesce(F.col("error_kind"), F.lit("")) != ""
+    again = first.where(failed & (F.col("error_kind") != "REFUSED")).select(F.col("claim_id").alias("again"))
+    instead = second.join(again, F.col("claim_id") == F.col("again"), "left_semi")
+    kept = first.join(instead.select(F.col("claim_id").alias("got")), F.col("claim_id") == F.col("got"), "left_anti")
+    return kept.unionByName(instead)

@@ -16,8 +16,17 @@ def attempts_window(attempts: DataFrame, window: str = "15 minutes", slide: str
 
 
 def unique_requests(requests: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """requests: merchant_id, key, ts. The first of each key within its time to live."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["merchant_id", "key"]) if requests.isStreaming else requests.dropDuplicates(["merchant_id", "key"])
+    """requests: merchant_id, key, ts. Those whose key had no request within its time to live before them; of a batch too."""
+    if requests.isStreaming:
+        return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["merchant_id", "key"])
+    # Sessions would let each repeat prolong the key; here the time counts from the request that was let through.
+    span = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {ttl}"))
+    times = requests.groupBy("merchant_id", "key").agg(F.sort_array(F.collect_list(F.unix_micros("ts"))).alias("all"))
+    start = F.array().cast("array<bigint>")
+    passed = F.aggregate("all", start, lambda s, t: F.when((F.size(s) == 0) | (t - F.element_at(s, -1) >= span), F.concat(s, F.array(t))).otherwise(s))
+    let = times.select(F.col("merchant_id").alias("m"), F.col("key").alias("k"), F.explode(passed).alias("at"))
+    once = requests.dropDuplicates(["merchant_id", "key", "ts"])
+    return once.join(let, F.col("merchant_id").eqNullSafe(F.col("m")) & F.col("key").eqNullSafe(F.col("k")) & (F.unix_micros("ts") == F.col("at")), "left_semi")
 
 
 def await_feed(claims: DataFrame, feed: DataFrame, delay: str = "2 hours") -> DataFrame:

@@ -88,5 +88,25 @@ def test_streams(spark, tmp_path):
 def test_decision_sink(spark, tmp_path):
     evidence = "array<struct<field:string,code:string,label:string,score:double,agreement:string>>"
     d = spark.createDataFrame([("c", "VERIFIED", "LOW", 1.0, ["A"], "t", "R090", None, "fp", [("amount", "AMT_EXACT", "l", 1.0, "AGREE")])], f"claim_id string, status string, risk string, confidence double, reasons array<string>, matched_txn_id string, fired_rule_id string, violation string, policy_fingerprint string, evidence {evidence}")
-    tables.write_decisions(d, str(tmp_path), "b1")
+    for batch in ("b1", "b2", "b1"):  # a batch that comes again replaces itself
+        tables.write_decisions(d, str(tmp_path), batch)
+    assert spark.read.parquet(f"{tmp_path}/attempts").count() == 2
+    tables.write_decisions(d, str(tmp_path / "one"), "b1")
+    tmp_path = tmp_path / "one"
     assert spark.read.parquet(f"{tmp_path}/attempts").count() == 1 and spark.read.parquet(f"{tmp_path}/evidence").first()["code"] == "AMT_EXACT"
+
+
+def test_time_to_live_in_batches(spark):
+    rows = [("M", "k", h) for h in (0, 1, 23, 24, 30, 49)] + [("M", "q", 5)]
+    d = spark.createDataFrame(rows, "merchant_id string, key string, h int").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("h") * 3600))
+    assert sorted((r["key"], r["h"]) for r in streaming.unique_requests(d).collect()) == [("k", 0), ("k", 24), ("k", 49), ("q", 5)]
+
+
+def test_fallback_and_images(spark, tmp_path):
+    schema = "claim_id string, amount string, error_kind string"
+    first = spark.createDataFrame([("1", "Rs 1", None), ("2", None, "TIMEOUT"), ("3", None, "REFUSED"), ("4", None, "TIMEOUT")], schema)
+    second = spark.createDataFrame([("1", "x", None), ("2", "Rs 2", None), ("3", "Rs 3", None)], schema)
+    assert {r["claim_id"]: r["amount"] for r in tables.extract_with_fallback(first, second).collect()} == {"1": "Rs 1", "2": "Rs 2", "3": None, "4": None}
+    (tmp_path / "a.webp").write_bytes(b"RIFF\x01\x02\x03\x04WEBPxx")
+    (tmp_path / "b.wav").write_bytes(b"RIFF\x01\x02\x03\x04WAVExx")
+    assert {r["path"].rsplit("/", 1)[1]: r["kind"] for r in tables.read_images(spark, str(tmp_path)).collect()} == {"a.webp": "webp", "b.wav": None}
