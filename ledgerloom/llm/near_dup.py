@@ -223,12 +223,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
-    """The pairs (a, b) that link on their full sets, as a table.
+    """The pairs (a, b), each given once, that link on their full sets, as a table.
 
     Members are dealt to a with a salt, about VERIFY_BLOCK a task group, so a
     class with very many candidates is spread; its own set goes to each.
     """
-    pairs = tables.write(pairs.distinct(), "pairs")
+    pairs = tables.write(pairs, "pairs")
     groups = tables.write(pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_BLOCK).cast("int").alias("salts")), "groups")
     salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")
     members = pairs.join(groups.withColumnRenamed("a", "ga"), F.col("a") == F.col("ga")).select(F.col("b").alias("id"), F.col("a").alias("g"), salt.alias("salt"), F.col("b").alias("member"))
