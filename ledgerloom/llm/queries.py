@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversation_repair import OP13_SQL, op13_conversation_repair
 from .fingerprints import op5_fingerprints
 from .language_id import op3_language_id
 from .mixing import op2_mix
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE = {
     "op1_url_filter": OP1_SQL,
     "op4_near_duplicates": OP4_SQL,
     "op7_top_k": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
