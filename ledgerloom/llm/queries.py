@@ -8,6 +8,7 @@ from .language_id import op3_language_id
 from .mixing import op2_mix
 from .near_dup import OP4_SQL, op4_near_duplicates
 from .packing import op10_best_fit_packing
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .sharding import op6_jump_sharding
 from .topk import OP7_SQL, op7_top_k
 from .toxicity import op9_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE = {
@@ -32,5 +34,6 @@ ORACLE = {
     "op4_near_duplicates": OP4_SQL,
     "op7_top_k": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_conversation_repair": OP13_SQL,
 }
