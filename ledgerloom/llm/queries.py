@@ -10,6 +10,7 @@ from .near_dup import OP4_SQL, op4_near_duplicates
 from .packing import op10_best_fit_packing
 from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .sharding import op6_jump_sharding
+from .substring_dedup import OP12_SQL, op12_substring_dedup
 from .topk import OP7_SQL, op7_top_k
 from .toxicity import op9_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE = {
@@ -35,5 +37,6 @@ ORACLE = {
     "op7_top_k": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_substring_dedup": OP12_SQL,
     "op13_conversation_repair": OP13_SQL,
 }

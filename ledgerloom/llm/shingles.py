@@ -16,6 +16,7 @@ _G = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mix64((np.arange(256, dtype=np.uint64) + np.uint64(11)) * _G)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_AS_IS = np.arange(256, dtype=np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POWERS = np.ones(1, np.uint64)
@@ -32,10 +33,10 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and the number of words of each text."""
+def word_hashes(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, A-Z lower-cased or as it is, and the number of words of each text."""
     raw = [x.encode("utf-8", "replace") for x in texts]
-    flat = _LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
+    flat = (_LOWER if lower else _AS_IS)[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
     starts = np.cumsum([0] + [len(x) + 1 for x in raw])
     inside = ~_SPACE[flat]
     edge = np.diff(inside.astype(np.int8), prepend=0)
