@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,14 +97,25 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _find(window: int, anchor: int):
+    """Documents to their stretches. Of equal ones in a block all but the first are sure to go: they are spread over all anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [batch.column(x) for x in KEY]
+            nil, doc = (keys[i].to_numpy(zero_copy_only=False) for i in range(2))
             for first, texts in text_blocks(batch.column("text"), BLOCK_CHARS):
                 text, place, gram, digest = stretches(texts, window, anchor)
-                take = pa.array(text + first)
+                text += first
+                order = np.lexsort((place, doc[text], nil[text], digest, gram))
+                text, place, gram, digest = text[order], place[order], gram[order], digest[order]
+                lead = np.arange(len(text))
+                lead[1:] *= (gram[1:] != gram[:-1]) | (digest[1:] != digest[:-1])
+                lead = np.maximum.accumulate(lead)
+                one = text[lead]
+                sure = (nil[text] != nil[one]) | (doc[text] != doc[one]) | (place != place[lead])
+                gram = np.where(sure, mix64(doc[text].astype(np.uint64) * _G + place.astype(np.uint64)), gram)
+                take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(gram)), pa.array(_signed(digest)), *[x.take(take) for x in keys], pa.array(place)], ["anchor", "digest", *KEY, "place"]
+                    [pa.array(_signed(gram)), pa.array(_signed(digest)), *[x.take(take) for x in keys], pa.array(place), pa.array(sure)], ["anchor", "digest", *KEY, "place", "sure"]
                 )
 
     return run
@@ -127,6 +139,10 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
+        sure = batch.filter(batch.column("sure"))
+        if sure.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(sure.num_rows, bool)), *[sure.column(x) for x in names[1:]]], names)
+            batch = batch.filter(pc.invert(batch.column("sure")))
         if not batch.num_rows:
             continue
         a, d, nil, doc, mark, place = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("anchor", "digest", *KEY, "place"))
@@ -348,7 +364,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_wo
     if window - anchor >= PLACES - 1:
         raise ValueError("windows of at most 262 words")
     kinds = "nil boolean, doc_id long, mark long"
-    found = texts.mapInArrow(_find(window, anchor), f"anchor long, digest long, {kinds}, place long")
+    found = texts.mapInArrow(_find(window, anchor), f"anchor long, digest long, {kinds}, place long, sure boolean")
     dealt = found.repartitionByRange("anchor", "digest").sortWithinPartitions("anchor", "digest", *KEY[:2], "place")
     sifted = tables.write(dealt.mapInArrow(_sift, f"open boolean, anchor long, {kinds}, place long"), "repeats")
     opened = sifted.where("open")

@@ -89,7 +89,7 @@ def test_sift_batches(batch):
     rows = sorted((rng.randrange(40), rng.randrange(2), False, rng.randrange(6), 0, rng.randrange(3) * S.PLACES + 1) for _ in range(300))
     rows = [(a, d, n, x, m, p) for a, d, n, x, m, p in rows]
     names = ["anchor", "digest", *S.KEY, "place"]
-    table = pa.Table.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
+    table = pa.Table.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names).append_column("sure", pa.array([False] * len(rows)))
     got = [tuple(r[x] for x in ("open", "anchor", "doc_id", "place")) for b in S._sift(iter(table.to_batches(max_chunksize=batch))) for r in b.to_pylist()]
     want, ends = [], (rows[0][0], rows[-1][0])
     for a, d, _, x, _, p in rows:
