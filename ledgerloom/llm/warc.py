@@ -28,7 +28,7 @@ DICTIONARY_FRAME = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
 #: An archive is closed once it has so many compressed bytes.
 ARCHIVE_BYTES = 32_000_000
-#: The dictionary: its size, and how many payloads (of at most so many characters together) it is trained on.
+#: The dictionary: its size, and how many payloads it is trained on; of each its first SAMPLE_BYTES // SAMPLE_PAGES characters.
 DICTIONARY_BYTES, SAMPLE_PAGES, SAMPLE_BYTES = 65_536, 1_000, 8_000_000
 LEVEL = 3
 #: Bytes of a page_id in a record id: RFC 9562 version 8 with the number in the last 8 bytes.
@@ -192,8 +192,10 @@ def _writer(root: str, dictionary: bytes, date: str, archive_bytes: int):
             for page, url, html, refers in zip(*columns, strict=True):
                 if out is None:  # attempts don't share names; only a finished attempt's files are listed
                     path = f"{base}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{number:04d}.warc.zst"
-                    out, size, count, number = store.open_output_stream(path), 0, 0, number + 1
-                    size += out.write(skippable_frame(dictionary)) or 0
+                    head = skippable_frame(dictionary)
+                    # The frames are ours: without compression=None the whole archive would be compressed again for its extension.
+                    out, size, count, number = store.open_output_stream(path, compression=None), len(head), 0, number + 1
+                    out.write(head)
                 record = build_record(page.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8"), refers.as_py(), date)
                 frame = packer.compress(record)
                 out.write(frame)
@@ -228,7 +230,7 @@ def write_warc(pages: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYTES,
     share = min(1.0, 4 * SAMPLE_PAGES / max(1, counted))
     sample = pages.where(F.length("html") > 0).where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(share * 1_000_000))
     samples, size = [], 0
-    for (x,) in sample.select("html").where(F.length("html") < SAMPLE_BYTES // SAMPLE_PAGES).limit(SAMPLE_PAGES).collect():
+    for (x,) in sample.select(F.substring("html", 1, SAMPLE_BYTES // SAMPLE_PAGES)).limit(SAMPLE_PAGES).collect():
         samples.append(x.encode("utf-8"))
         size += len(samples[-1])
         if size > SAMPLE_BYTES:
@@ -252,7 +254,7 @@ def _reader(with_payload: bool):
         for batch in batches:
             for uri in batch.column("path").to_pylist():
                 store, path = pafs.FileSystem.from_uri(uri)
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     rows, size = [], 0
                     for record in read_archive(stream):
                         rows.append(_row(record, with_payload))

@@ -27,6 +27,43 @@ def test_round_trip(spark):
     assert A.read_warc(A.write_warc(df.limit(0), new_path(spark, "warc"))).count() == 0
 
 
+def frames(data, dictionary):
+    """The frames of bytes after the dictionary, by zstandard alone."""
+    codec, out = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)), []
+    while data:
+        one = codec.decompressobj()
+        out.append(one.decompress(data))
+        assert one.eof
+        data = one.unused_data
+    return out
+
+
+def test_bytes_on_disk(spark):
+    """A leading skippable frame with the dictionary and a frame a record, for pages of any length."""
+    words = [f"<a href='/{i}'>link {i}</a>" for i in range(3000)]
+    pages = [(i, f"http://x/{i}", (" ".join(words[i : i + 2500]) + str(i))[:50_000]) for i in range(300)]
+    got = A.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), new_path(spark, "warc"), archive_bytes=100_000).collect()
+    records = 0
+    for r in got:
+        with open(r["path"].removeprefix("file://"), "rb") as f:
+            data = f.read()
+        assert data[:4] == bytes.fromhex("5d2a4d18") and len(data) == r["bytes"]
+        size = int.from_bytes(data[4:8], "little")
+        assert size > 10_000
+        own = frames(data[8 + size :], data[8 : 8 + size])
+        assert len(own) == r["records"] and all(x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n") for x in own)
+        records += len(own)
+    assert records == 300 and len(got) > 1
+
+
+def test_archive_made_elsewhere(spark, tmp_path):
+    d = b"WARC/1.1 response http " * 40
+    path = tmp_path / "other.warc.zst"
+    path.write_bytes(archive([A.build_record(i, "http://x/", b"y" * i, None, "2026-01-01T00:00:00Z") for i in range(200)], d))
+    got = A.read_warc(spark.createDataFrame([(f"file://{path}",)], "path string")).collect()
+    assert sorted((r["page_id"], bytes(r["payload"])) for r in got) == [(i, b"y" * i) for i in range(200)]
+
+
 def test_query(spark, sf):
     pages = {r[0]: (r[1] or "").encode() for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()}
     got = A.op8_warc(spark, sf).collect()
