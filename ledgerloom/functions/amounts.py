@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import digits_changed, fold_digits, nfkc
+from .text import digits_changed, fold_digits, let, nfkc
 
 #: Digits that are read for one another.
 CONFUSABLE_DIGITS = {"0": "8", "1": "7", "3": "8", "4": "9", "5": "6", "6": "58", "7": "1", "8": "063", "9": "4"}
 
 
+#: Words and signs of money, spaces between thousands, glyphs that are read for digits, runs that may be a number.
+CURRENCY_WORDS = r"(?i)(?:\bpkr\b|\brs\.?|\brupees?\b|\bpaisas?\b|\bonly\b|/\s*-|₨|﷼)"
+SPACED_THOUSANDS = r"(?<=\d)[  ](?=\d{3}(?:\D|$))"
+GLYPHS, GLYPH_DIGITS = "OolISB", "001158"
+NUMBER_RUN = r"([0-9OolISB][0-9OolISB.,]*)"
+
+
 def _best_run(s: Column) -> Column:
     """The run with most digits, then longest, then leftmost; '' if none has a digit."""
-    runs = F.regexp_extract_all(s, F.lit(r"([0-9OolISB][0-9OolISB.,]*)"), F.lit(1))
+    runs = F.regexp_extract_all(s, F.lit(NUMBER_RUN), F.lit(1))
 
     def keep(best: Column, run: Column) -> Column:
         d = F.regexp_count(run, F.lit(r"\d"))
@@ -24,13 +31,23 @@ def _best_run(s: Column) -> Column:
 
 
 def parse_amount_text(raw: Column) -> Column:
-    """struct(value decimal(38,18), notes): a payment amount as printed; value null where nothing can be read."""
-    plain = F.translate(fold_digits(nfkc(raw)), "٬٫", ",.")
-    words = r"(?i)(?:\bpkr\b|\brs\.?|\brupees?\b|\bpaisas?\b|\bonly\b|/\s*-|₨|﷼)"
-    spaced = F.regexp_replace(F.regexp_replace(plain, words, " "), r"(?<=\d)[  ](?=\d{3}(?:\D|$))", "")
-    run = _best_run(spaced)
-    glyphs = run.rlike("[OolISB]")
-    s = F.regexp_replace(F.translate(run, "OolISB", "001158"), r"^[.,]+|[.,]+$", "")
+    """struct(value decimal(38,18), notes): a payment amount as printed; value null where nothing can be read.
+
+    The folded text, the run of digits and the number in it are each computed once for a row.
+    """
+    return let(nfkc(raw), lambda folded: let(_best_run(_without_words(folded)), lambda run: let(_bare(run), lambda s: _read_amount(s, run, folded))))
+
+
+def _without_words(folded: Column) -> Column:
+    plain = F.translate(fold_digits(folded), "٬٫", ",.")
+    return F.regexp_replace(F.regexp_replace(plain, CURRENCY_WORDS, " "), SPACED_THOUSANDS, "")
+
+
+def _bare(run: Column) -> Column:
+    return F.regexp_replace(F.translate(run, GLYPHS, GLYPH_DIGITS), r"^[.,]+|[.,]+$", "")
+
+
+def _read_amount(s: Column, run: Column, folded: Column) -> Column:
     both = F.contains(s, F.lit(",")) & F.contains(s, F.lit("."))
     last_dot, last_comma = (F.length(s) - F.instr(F.reverse(s), c) for c in ".,")
     western = F.regexp_replace(s, ",", "")
@@ -44,13 +61,13 @@ def parse_amount_text(raw: Column) -> Column:
     )
     notes = F.array_compact(
         F.array(
-            F.when(digits_changed(nfkc(raw)), F.lit("AMOUNT_NON_ASCII_DIGITS")),
-            F.when(glyphs, F.lit("AMOUNT_OCR_GLYPH_FIXUP")),
+            F.when(digits_changed(folded), F.lit("AMOUNT_NON_ASCII_DIGITS")),
+            F.when(run.rlike(f"[{GLYPHS}]"), F.lit("AMOUNT_OCR_GLYPH_FIXUP")),
             F.when(grouped_dots, F.lit("AMOUNT_SEPARATOR_AMBIGUOUS")),
         )
     )
-    ok = value.rlike(r"^(\d+\.?\d*|\.\d+)$")
-    return F.struct(F.when(ok, value).try_cast("decimal(38,18)").alias("value"), notes.alias("notes"))
+    number = let(value, lambda v: F.when(v.rlike(r"^(\d+\.?\d*|\.\d+)$"), v).try_cast("decimal(38,18)"))
+    return F.struct(number.alias("value"), notes.alias("notes"))
 
 
 def to_minor(value: Column) -> Column:

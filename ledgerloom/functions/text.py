@@ -20,25 +20,31 @@ def _ascii(col: Column) -> Column:
     return ~col.rlike(r"[^\x00-\x7f]")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for each row: lambda variables are not inlined, so plans don't grow with each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normal_form(col: Column, composed: bool) -> Column:
     """NFKC (composed) or NFKD, by the ICU library that Spark itself ships; ASCII texts, and nulls, don't reach it."""
-    call = F.java_method(F.lit(_ICU), F.lit("compose" if composed else "decompose"), col, F.lit(True))
-    return F.when(~_ascii(col), call).otherwise(col)
+    call = lambda c: F.java_method(F.lit(_ICU), F.lit("compose" if composed else "decompose"), c, F.lit(True))
+    return let(col, lambda c: F.when(~_ascii(c), call(c)).otherwise(c))
 
 
 def nfkc(col: Column) -> Column:
     """NFKC, NBSP to space, direction marks dropped, white space collapsed, stripped."""
-    folded = F.translate(normal_form(col, True), " \u200f\u200e", " ")
+    folded = F.translate(normal_form(col, True), "\u00a0\u200f\u200e", " ")
     return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
 
 
 def fold_digits(col: Column) -> Column:
     """Every Unicode digit to ASCII."""
-    return F.when(_ascii(col), col).otherwise(F.translate(col, "".join(_DIGITS), _DIGIT_VALUES))
+    return let(col, lambda c: F.when(_ascii(c), c).otherwise(F.translate(c, "".join(_DIGITS), _DIGIT_VALUES)))
 
 
 def digits_changed(col: Column) -> Column:
-    return ~_ascii(col) & (fold_digits(col) != col)
+    """Whether fold_digits() changes anything; false for ASCII, null for null."""
+    return let(col, lambda c: ~_ascii(c) & F.exists(F.split(c, ""), lambda x: (x > "\x7f") & F.contains(F.lit("".join(_DIGITS)), x)))
 
 
 def normalize_reference(col: Column) -> Column:
