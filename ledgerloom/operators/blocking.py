@@ -18,12 +18,14 @@ from pyspark.sql import Window as W
 from ..functions.amounts import amount_probes
 from ..functions.text import confusable, normalize_reference
 from ..policy import Policy
+from ..storage import Tables
 from .idf import idf, name_documents
-from .names import phonetic_keys
+from .names import keyed_rows, name_keys
 
 #: Fixed values, in order of rank.
 KINDS = ["REF_EXACT", "REF_CONFUSABLE", "REF_SUFFIX", "TIME_WINDOW", "AMOUNT_EXACT", "AMOUNT_NEIGHBOUR", "NAME_PHONETIC"]
 TIME, NAME = 3, 6
+NAMES = ["sender_name", "receiver_name"]
 SUFFIX = 6
 DAY = 86_400
 #: Seconds of one merchant's ledger that one task numbers.
@@ -55,7 +57,7 @@ def _keys_of(df: DataFrame, row: Column | None, kinds: set[int], id_col: str, si
     if row is not None:
         parts.append(df.withColumn("e", F.explode(row)).where("e.key is not null"))
     if NAME in kinds:
-        keyed = phonetic_keys(df, id_col, ["sender_name", "receiver_name"], table).select(F.col(id_col).alias("k"), "name_key")
+        keyed = keyed_rows(df, id_col, NAMES, table).select(F.col(id_col).alias("k"), "name_key")
         parts.append(df.join(keyed, F.col(id_col) == F.col("k")).withColumn("e", _entry(NAME, F.col("name_key"))).drop("k", "name_key"))
     out = parts[0]
     for x in parts[1:]:
@@ -66,9 +68,14 @@ def _keys_of(df: DataFrame, row: Column | None, kinds: set[int], id_col: str, si
 def blocking_keys(claims: DataFrame, ledger: DataFrame, policy: Policy, kinds: set[int]) -> tuple[DataFrame, DataFrame]:
     """(claim_id, cm, at, ckind, ckey), (txn_id, tm, at, tkind, tkey) of the asked kinds. All rows share the key of TIME.
 
-    claims have anchor_s: the reading, else now. Only what the kinds need is computed.
+    claims have anchor_s: the reading, else now. Only what the kinds need is computed. The names of both
+    sides are keyed once, in a written table, so that neither side's plan holds the other's.
     """
-    table = idf(name_documents(ledger), policy.blocking_idf_floor, scoring=False) if NAME in kinds else None
+    table = None
+    if NAME in kinds:
+        weights = idf(name_documents(ledger), policy.blocking_idf_floor, scoring=False)
+        both = claims.select("merchant_id", *NAMES).unionByName(ledger.select("merchant_id", *NAMES))
+        table = Tables(claims.sparkSession).write(name_keys(both, NAMES, weights), "name-keys")
     money = F.concat(F.col("currency"), F.lit("|"), F.col("amount_minor"))
     probes = F.transform(amount_probes(F.col("amount_minor")), lambda p: _entry(5, F.concat(F.col("currency"), F.lit("|"), p)))
     suffix = F.when(F.length("ref_norm") >= SUFFIX, F.right("ref_norm", F.lit(SUFFIX)))
@@ -144,13 +151,17 @@ def _numbered(rows: DataFrame, points: DataFrame) -> DataFrame:
     return placed.select("line", "t", "id", "what", (F.col("base") + F.col("n")).alias("up"), (F.col("base") + 2 * F.col("n_tied") - F.col("ties") + 1 - F.col("n")).alias("down"), "total")
 
 
-def near_hits(claim_keys: DataFrame, txn_keys: DataFrame, window_s: int, most: int) -> DataFrame:
+def any_lone(claims: DataFrame) -> bool:
+    return bool(claims.where("merchant_id is null").take(1))
+
+
+def near_hits(claim_keys: DataFrame, txn_keys: DataFrame, window_s: int, most: int, lone: bool) -> DataFrame:
     """claim_id, txn_id, kind, abs_delta: of each key's rows the ``most`` nearest in time before and after the claim.
 
     Of equal times the smaller txn_id is nearer; TIME has those within the window
     alone. Rows meet on (line, number), which no two rows of the ledger share.
+    lone: whether any claim has no merchant, so that it looks through all rows.
     """
-    lone = bool(claim_keys.where("cm is null").take(1))
     line = lambda kind, key, m: F.concat_ws("|", F.col(kind), F.col(key), m)
     c = claim_keys.where("at is not null").withColumn("m", F.explode(_asked_lines(F.col("cm")))).select(line("ckind", "ckey", F.col("m")).alias("line"), F.col("at").alias("t"), F.lit(0).alias("side"), F.col("claim_id").alias("id"), F.lit("own").alias("what"))
     t = txn_keys.where("at is not null").withColumn("m", F.explode(_lines(F.col("tm"), *(["all"] if lone else [])))).select(line("tkind", "tkey", F.col("m")).alias("line"), F.col("at").alias("t"), F.col("txn_id").alias("id"))
@@ -191,7 +202,7 @@ def candidates(claims: DataFrame, ledger: DataFrame, policy: Policy, names: bool
     """
     near = {TIME, 4, 5, NAME} if names else {TIME, 4, 5}
     found = key_hits(*blocking_keys(claims, ledger, policy, {0, 1, 2}))
-    found = found.unionByName(near_hits(*blocking_keys(claims, ledger, policy, near), policy.time_window_s, policy.max_candidates))
+    found = found.unionByName(near_hits(*blocking_keys(claims, ledger, policy, near), policy.time_window_s, policy.max_candidates, any_lone(claims)))
     pairs = _by_claim(found).groupBy("claim_id", "txn_id").agg(F.min("kind").alias("group_rank"), F.min("abs_delta").alias("abs_delta"))
     order = W.partitionBy("claim_id").orderBy("group_rank", "abs_delta", "txn_id")
     return pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= policy.max_candidates)
@@ -205,7 +216,7 @@ def retrieve(claims: DataFrame, ledger: DataFrame, policy: Policy, names: bool =
     all pairs that any kind finds.
     """
     by_key = key_hits(*blocking_keys(claims, ledger, policy, {0, 1, 2, 4, 5, NAME} if names else {0, 1, 2, 4, 5}))
-    near = near_hits(*blocking_keys(claims, ledger, policy, {TIME}), policy.time_window_s, policy.max_candidates)
+    near = near_hits(*blocking_keys(claims, ledger, policy, {TIME}), policy.time_window_s, policy.max_candidates, any_lone(claims))
     counts = count_in_band(claims, ledger, policy.time_window_s)
     inside = F.coalesce(F.col("abs_delta") <= policy.time_window_s, F.lit(False))
     bit = lambda kind: F.call_function("shiftleft", F.lit(1), kind)

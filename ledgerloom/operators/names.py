@@ -26,14 +26,19 @@ def weighed_names(rows: DataFrame, columns: list[str], table: DataFrame) -> Data
     return back.select("merchant_id", "name", F.transform("x", lambda r: r["token"]).alias("tokens"), F.transform("x", lambda r: r["idf"]).alias("weights"))
 
 
-def phonetic_keys(rows: DataFrame, key: str, columns: list[str], table: DataFrame) -> DataFrame:
-    """key, name_key: the distinct phonetic keys of the two rarest tokens of each name in the columns."""
+def name_keys(rows: DataFrame, columns: list[str], table: DataFrame) -> DataFrame:
+    """merchant_id, name, name_key: the distinct phonetic keys of the two rarest tokens of each distinct name in the columns."""
     book = weighed_names(rows, columns, table)
     two = book.select("merchant_id", "name", F.explode(rarest_two(F.col("tokens"), F.col("weights"))).alias("token"))
     codes = two.select("token").distinct().select(F.col("token").alias("t"), F.explode(phonetic_codes(F.col("token"))).alias("name_key"))
-    keyed = two.join(codes, F.col("token") == F.col("t")).select(F.col("merchant_id").alias("m"), "name", "name_key").distinct()
+    return two.join(codes, F.col("token") == F.col("t")).select("merchant_id", "name", "name_key").distinct()
+
+
+def keyed_rows(rows: DataFrame, key: str, columns: list[str], keys: DataFrame) -> DataFrame:
+    """key, name_key: the distinct keys of each row's names; keys: name_keys()."""
+    keys = keys.select(F.col("merchant_id").alias("m"), "name", "name_key")
     each = rows.select(key, "merchant_id", F.explode(F.array_distinct(F.array(*columns))).alias("n"))
-    met = each.join(keyed, F.col("merchant_id").eqNullSafe(F.col("m")) & (F.col("n") == F.col("name")))
+    met = each.join(keys, F.col("merchant_id").eqNullSafe(F.col("m")) & (F.col("n") == F.col("name")))
     return met.select(key, "name_key").distinct()
 
 
