@@ -121,7 +121,8 @@ def amount_probes(minor: Column) -> Column:
     return F.array_sort(F.filter(F.array_distinct(F.concat(tens, swaps)), lambda x: x != m))
 
 
-def material(over_minor: Column, base_minor: Column, least_minor: int, share: float) -> Column:
+def material(over_minor: Column, base_minor: Column, least_minor: int | Column, share: float | Column) -> Column:
     """Above zero, at least least_minor and at least share (decimal, exact) of the base."""
-    scaled = F.lit(str(share)).cast("decimal(20,10)") * base_minor.cast("decimal(18,0)")
+    printed = share.cast("string") if isinstance(share, Column) else F.lit(str(share))
+    scaled = printed.cast("decimal(20,10)") * base_minor.cast("decimal(18,0)")
     return F.coalesce((over_minor > 0) & (over_minor >= least_minor) & (over_minor.cast("decimal(30,10)") >= scaled), F.lit(False))

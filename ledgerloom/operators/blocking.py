@@ -65,17 +65,18 @@ def _keys_of(df: DataFrame, row: Column | None, kinds: set[int], id_col: str, si
     return out.select(id_col, F.col("merchant_id").alias(f"{side}m"), "at", F.col("e.kind").alias(f"{side}kind"), F.col("e.key").alias(f"{side}key"))
 
 
-def blocking_keys(claims: DataFrame, ledger: DataFrame, policy: Policy, kinds: set[int]) -> tuple[DataFrame, DataFrame]:
+def blocking_keys(claims: DataFrame, ledger: DataFrame, policy: Policy, kinds: set[int], floors: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
     """(claim_id, cm, at, ckind, ckey), (txn_id, tm, at, tkind, tkey) of the asked kinds. All rows share the key of TIME.
 
     claims have anchor_s: the reading, else now. Only what the kinds need is computed. The names of both
-    sides are keyed once, in a written table, so that neither side's plan holds the other's.
+    sides are keyed once, in a written table, so that neither side's plan holds the other's. floors: name keys for
+    each of these in place of the policy's blocking_idf_floor, its number before them.
     """
     table = None
     if NAME in kinds:
-        weights = idf(name_documents(ledger), policy.blocking_idf_floor, scoring=False)
+        weights = idf(name_documents(ledger), 0.0 if floors else policy.blocking_idf_floor, scoring=False)
         both = claims.select("merchant_id", *NAMES).unionByName(ledger.select("merchant_id", *NAMES))
-        table = Tables(claims.sparkSession).write(name_keys(both, NAMES, weights), "name-keys")
+        table = Tables(claims.sparkSession).write(name_keys(both, NAMES, weights, floors), "name-keys")
     money = F.concat(F.col("currency"), F.lit("|"), F.col("amount_minor"))
     probes = F.transform(amount_probes(F.col("amount_minor")), lambda p: _entry(5, F.concat(F.col("currency"), F.lit("|"), p)))
     suffix = F.when(F.length("ref_norm") >= SUFFIX, F.right("ref_norm", F.lit(SUFFIX)))
@@ -156,7 +157,7 @@ def any_lone(claims: DataFrame) -> bool:
 
 
 def near_hits(claim_keys: DataFrame, txn_keys: DataFrame, window_s: int, most: int, lone: bool) -> DataFrame:
-    """claim_id, txn_id, kind, abs_delta: of each key's rows the ``most`` nearest in time before and after the claim.
+    """claim_id, txn_id, kind, abs_delta, floor (of a name key that has one; else no number): of each key's rows the ``most`` nearest in time before and after the claim.
 
     Of equal times the smaller txn_id is nearer; TIME has those within the window
     alone. Rows meet on (line, number), which no two rows of the ledger share.
@@ -173,7 +174,7 @@ def near_hits(claim_keys: DataFrame, txn_keys: DataFrame, window_s: int, most: i
     asked = placed.where("what = 'own'").select(F.col("id").alias("claim_id"), "line", "t", F.explode(wanted).alias("a"))
     met = asked.join(index, (F.col("line") == F.col("il")) & (F.col("a.way") == F.col("w.way")) & (F.col("a.n") == F.col("w.n")))
     kind = F.substring("line", 1, 1).cast("int")
-    out = met.select("claim_id", "txn_id", kind.alias("kind"), F.abs(F.col("it") - F.col("t")).alias("abs_delta"))
+    out = met.select("claim_id", "txn_id", kind.alias("kind"), F.abs(F.col("it") - F.col("t")).alias("abs_delta"), F.split("line", r"[|~]")[1].alias("floor"))
     return out.where((F.col("kind") != TIME) | (F.col("abs_delta") <= window_s))
 
 
@@ -202,12 +203,31 @@ def candidates(claims: DataFrame, ledger: DataFrame, policy: Policy, names: bool
     """
     near = {TIME, 4, 5, NAME} if names else {TIME, 4, 5}
     found = key_hits(*blocking_keys(claims, ledger, policy, {0, 1, 2}))
-    found = found.unionByName(near_hits(*blocking_keys(claims, ledger, policy, near), policy.time_window_s, policy.max_candidates, any_lone(claims)))
+    near = near_hits(*blocking_keys(claims, ledger, policy, near), policy.time_window_s, policy.max_candidates, any_lone(claims))
+    found = found.unionByName(near.drop("floor"))
     pairs = _by_claim(found).groupBy("claim_id", "txn_id").agg(F.min("kind").alias("group_rank"), F.min("abs_delta").alias("abs_delta"))
     order = W.partitionBy("claim_id").orderBy("group_rank", "abs_delta", "txn_id")
     return pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= policy.max_candidates)
 
 
+def candidates_of(claims: DataFrame, ledger: DataFrame, policies: list[Policy], names: bool = True) -> DataFrame:
+    """retrieval, claim_id, txn_id, group_rank, abs_delta, position: candidates() of several policies, numbered by their place.
+
+    Keys meet once, as the loosest of them asks; each policy takes from these hits
+    those in its window and of its floor, and as many as it may.
+    """
+    floors = sorted({p.blocking_idf_floor for p in policies}) if names else None
+    near = {TIME, 4, 5, NAME} if names else {TIME, 4, 5}
+    window, most = max(p.time_window_s for p in policies), max(p.max_candidates for p in policies)
+    found = key_hits(*blocking_keys(claims, ledger, policies[0], {0, 1, 2})).withColumn("floor", F.lit(None).cast("string"))
+    found = _by_claim(found.unionByName(near_hits(*blocking_keys(claims, ledger, policies[0], near, floors), window, most, any_lone(claims))))
+    ways = [F.struct(F.lit(i).alias("retrieval"), F.lit(p.time_window_s).alias("window"), F.lit(p.max_candidates).alias("most"), F.lit(str(floors.index(p.blocking_idf_floor)) if names else "").alias("own")) for i, p in enumerate(policies)]
+    each = found.withColumn("r", F.explode(F.array(*ways))).where("(kind <> 3 OR abs_delta <= r.window) AND (kind <> 6 OR floor = r.own)")
+    pairs = each.groupBy(F.col("r.retrieval").alias("retrieval"), "claim_id", "txn_id", F.col("r.most").alias("most")).agg(F.min("kind").alias("group_rank"), F.min("abs_delta").alias("abs_delta"))
+    order = W.partitionBy("retrieval", "claim_id").orderBy("group_rank", "abs_delta", "txn_id")
+    return pairs.withColumn("position", F.row_number().over(order)).where("position <= most").drop("most")
+
+
 def retrieve(claims: DataFrame, ledger: DataFrame, policy: Policy, names: bool = True) -> DataFrame:
     """claim_id, txn_id, kinds, group_rank, abs_delta, position, examined, truncated: at most max_candidates a claim.
 

@@ -41,14 +41,14 @@ def name_fields(names: bool | tuple[NameField, ...]) -> tuple[NameField, ...]:
     return SENDER if names is True else tuple(names or ())
 
 
-def score_candidates(claims: DataFrame, ledger: DataFrame, pairs: DataFrame, policy: Policy, names: bool | tuple[NameField, ...] = True) -> DataFrame:
-    """One row a pair: an outcome for each field and the aggregate score. names: the name columns to compare (True: the sender's).
+def compare_inputs(claims: DataFrame, ledger: DataFrame, pairs: DataFrame, policy: Policy, names: bool | tuple[NameField, ...] = True) -> DataFrame:
+    """One row a pair, with all that comparing it needs; other columns of pairs stay. Reads name_idf_floor and name_pair_min_t.
 
     With names, pairs are read three times; decide() gives them as a written table.
     """
     more = name_fields(names)
     c, t = with_keys(claims, F.col("reference_id")), with_keys(ledger, ledger_reference())
-    p = pairs.select(F.col("claim_id").alias("p_claim"), "txn_id", "group_rank", "abs_delta")
+    p = pairs.drop("position").withColumnRenamed("claim_id", "p_claim")
     table = idf(name_documents(ledger), policy.name_idf_floor, scoring=True) if more else None
     for f in more:
         x = f.column
@@ -62,30 +62,45 @@ def score_candidates(claims: DataFrame, ledger: DataFrame, pairs: DataFrame, pol
     )
     # Dealt by claim in a stated number of parts: comparing is dear for its bytes, and the ranking needs no other shuffle.
     parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = p.join(t, F.col("txn_id") == F.col("t_id")).repartition(parts, "p_claim").join(c, F.col("p_claim") == F.col("claim_id")).drop("p_claim", "t_id")
-    sim = timestamp_similarity(F.col("occurred_s"), F.col("granularity_s"), F.col("date_inferred"), F.col("t_at"), policy)
-    both = both.withColumn("ts_sim", sim)
-    for f in more:
+    return p.join(t, F.col("txn_id") == F.col("t_id")).repartition(parts, "p_claim").join(c, F.col("p_claim") == F.col("claim_id")).drop("p_claim", "t_id")
+
+
+def name_metrics(both: DataFrame, policy: Policy, names: bool | tuple[NameField, ...] = True, floor: Column | None = None) -> DataFrame:
+    """both with m_ and mask_ of each name column. floor: lifts the weights, where compare_inputs() had a lower one."""
+    for f in name_fields(names):
         x = f.column
+        weights = F.col(f"cw_{x}") if floor is None else F.transform(f"cw_{x}", lambda w: F.greatest(w, floor))
         both = both.withColumns({
-            f"m_{x}": alignment(F.col(f"ct_{x}"), F.col(f"tt_{x}"), F.col(f"cw_{x}"), F.coalesce(f"cs_{x}", F.array().cast("array<struct<a:string,b:string,sim:double>>")), policy.name_pair_min_t),
+            f"m_{x}": alignment(F.col(f"ct_{x}"), F.col(f"tt_{x}"), weights, F.coalesce(f"cs_{x}", F.array().cast("array<struct<a:string,b:string,sim:double>>")), policy.name_pair_min_t),
             f"mask_{x}": mask_metrics(F.col(x), F.col(f"ct_{x}"), F.col(f"tn_{x}"), F.col(f"tt_{x}"), policy.name_strong_t),
         })
-    both = both.withColumns({
+    return both
+
+
+def outcomes(both: DataFrame, policy: Policy, names: bool | tuple[NameField, ...] = True) -> DataFrame:
+    """both, with name_metrics(), and an outcome for each field and the aggregate score; tokens and weights are dropped."""
+    more = name_fields(names)
+    sim = timestamp_similarity(F.col("occurred_s"), F.col("granularity_s"), F.col("date_inferred"), F.col("t_at"), policy)
+    both = both.withColumn("ts_sim", sim).withColumns({
         "o_reference": reference_ladder(F.col("ref_norm"), F.col("t_ref"), F.col("ref_conf"), F.col("t_conf"), policy),
         "o_amount": amount_ladder(F.col("amount_minor"), F.col("t_amount"), F.col("currency") == F.col("t_currency"), policy),
         "o_timestamp": timestamp_ladder(F.col("occurred_s"), F.col("granularity_s"), F.col("date_inferred"), F.col("t_at"), F.col("ts_sim"), policy),
         **{f"o_{f.column}": name_ladder(f.column, F.col(f"ct_{f.column}"), F.col(f"tt_{f.column}"), F.col(f"m_{f.column}"), F.col(f"mask_{f.column}"), policy) for f in more},
     }).drop(*[f"{k}_{f.column}" for f in more for k in ("ct", "cw", "cs", "tt", "tn")])
-    outcomes = [(F.col("o_reference"), policy.w_reference), (F.col("o_amount"), policy.w_amount), (F.col("o_timestamp"), policy.w_timestamp)]
-    outcomes += [(F.col(f"o_{f.column}"), policy.w_sender_name if f.weight is None else f.weight) for f in more]
-    return both.withColumn("score", aggregate_score(outcomes, policy))
+    weighed = [(F.col("o_reference"), policy.w_reference), (F.col("o_amount"), policy.w_amount), (F.col("o_timestamp"), policy.w_timestamp)]
+    weighed += [(F.col(f"o_{f.column}"), policy.w_sender_name if f.weight is None else f.weight) for f in more]
+    return both.withColumn("score", aggregate_score(weighed, policy))
+
+
+def score_candidates(claims: DataFrame, ledger: DataFrame, pairs: DataFrame, policy: Policy, names: bool | tuple[NameField, ...] = True) -> DataFrame:
+    """One row a pair: an outcome for each field and the aggregate score. names: the name columns to compare (True: the sender's)."""
+    return outcomes(name_metrics(compare_inputs(claims, ledger, pairs, policy, names), policy, names), policy, names)
 
 
-def rank(scored: DataFrame) -> DataFrame:
-    """rnk, margin (1 with one candidate), dominant (the one exact reference is first) on every row."""
-    order = W.partitionBy("claim_id").orderBy(F.col("score").desc(), "txn_id")
-    every = W.partitionBy("claim_id")
+def rank(scored: DataFrame, *by: str) -> DataFrame:
+    """rnk, margin (1 with one candidate), dominant (the one exact reference is first) on every row. by: ranks apart for these columns."""
+    every = W.partitionBy("claim_id", *by)
+    order = every.orderBy(F.col("score").desc(), "txn_id")
     exact = F.col("o_reference.code") == "REF_EXACT"
     out = scored.withColumns({"rnk": F.row_number().over(order), "next_score": F.lead("score").over(order), "n_candidates": F.count("*").over(every), "n_exact": F.sum(exact.cast("int")).over(every)})
     return out.withColumn("margin", F.coalesce(F.col("score") - F.col("next_score"), F.lit(1.0))).withColumn("dominant", (F.col("n_exact") == 1) & exact & (F.col("rnk") == 1))

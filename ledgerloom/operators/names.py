@@ -26,9 +26,18 @@ def weighed_names(rows: DataFrame, columns: list[str], table: DataFrame) -> Data
     return back.select("merchant_id", "name", F.transform("x", lambda r: r["token"]).alias("tokens"), F.transform("x", lambda r: r["idf"]).alias("weights"))
 
 
-def name_keys(rows: DataFrame, columns: list[str], table: DataFrame) -> DataFrame:
-    """merchant_id, name, name_key: the distinct phonetic keys of the two rarest tokens of each distinct name in the columns."""
+def name_keys(rows: DataFrame, columns: list[str], table: DataFrame, floors: list[float] | None = None) -> DataFrame:
+    """merchant_id, name, name_key: the distinct phonetic keys of the two rarest tokens of each distinct name in the columns.
+
+    floors: keys for each of several least weights, with the number of the floor and a tilde before each key; table then has a floor of 0.
+    """
     book = weighed_names(rows, columns, table)
+    if floors:
+        lifted = lambda f: F.transform("weights", lambda w: F.when(w.isNotNull(), F.greatest(w, f)))
+        book = book.select("merchant_id", "name", "tokens", "weights", F.posexplode(F.array(*[F.lit(float(x)) for x in floors])).alias("at", "floor"))
+        two = book.select(F.col("merchant_id"), "name", "at", F.explode(rarest_two(F.col("tokens"), lifted(F.col("floor")))).alias("token"))
+        codes = two.select("token").distinct().select(F.col("token").alias("t"), F.explode(phonetic_codes(F.col("token"))).alias("code"))
+        return two.join(codes, F.col("token") == F.col("t")).select("merchant_id", "name", F.concat_ws("~", "at", "code").alias("name_key")).distinct()
     two = book.select("merchant_id", "name", F.explode(rarest_two(F.col("tokens"), F.col("weights"))).alias("token"))
     codes = two.select("token").distinct().select(F.col("token").alias("t"), F.explode(phonetic_codes(F.col("token"))).alias("name_key"))
     return two.join(codes, F.col("token") == F.col("t")).select("merchant_id", "name", "name_key").distinct()

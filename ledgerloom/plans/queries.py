@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import amounts, misc, names, text, times
 from ..operators import aggregates, blocking, conflicts, explain, idf, reports, sweep, workflow
-from ..operators.decide import DECISION_KNOBS, RETRIEVAL_KNOBS, anchored, decide, rank, score_candidates
+from ..operators.decide import DECISION_KNOBS, anchored, decide, rank, score_candidates
 from ..policy import DEFAULT
 from ..sources import tables
 from ..sources.testdata import duck_ctes, views
@@ -234,14 +234,14 @@ def ladder_name(spark, sf):
     return _ranked(spark, sf, True).select("claim_id", "txn_id", F.col("o_sender_name.code").alias("code"), F.round("m_sender_name.idf_score", 9).alias("idf_score"))
 
 
-@query(CORE + "SELECT claim_id, txn_id, score, round(margin, 9) AS margin, ne = 1 AND rc = 'REF_EXACT' AND rnk = 1 AS dominant, CAST(rnk AS INT) AS rnk FROM r WHERE rnk <= 3")
+@query(CORE + "SELECT claim_id, txn_id, score, round(margin, 9) AS margin, ne = 1 AND rc = 'REF_EXACT' AND rnk = 1 AS dominant, CAST(rnk AS INT) AS rnk FROM r")
 def rank_margin(spark, sf):
-    return _ranked(spark, sf).where("rnk <= 3").select("claim_id", "txn_id", "score", F.round("margin", 9).alias("margin"), "dominant", "rnk")
+    return _ranked(spark, sf).select("claim_id", "txn_id", "score", F.round("margin", 9).alias("margin"), "dominant", "rnk")
 
 
 @query(CORE + "SELECT claim_id, txn_id, score, round(margin, 9) AS margin, ne = 1 AND rc = 'REF_EXACT' AND rnk = 1 AS dominant, CAST(rnk AS INT) AS rnk, CAST(nc AS BIGINT) AS n_candidates FROM r")
 def rank_margin_whole(spark, sf):
-    """Every rank of every claim; rank_margin and its SQL have the first three."""
+    """Every rank of every claim, with its number of candidates."""
     return _ranked(spark, sf).select("claim_id", "txn_id", "score", F.round("margin", 9).alias("margin"), "dominant", "rnk", "n_candidates")
 
 
@@ -506,16 +506,59 @@ def plateau(spark, sf):
 @query()
 def policy_sweep(spark, sf):
     v = views(spark, sf)
-    c, t, allocs = anchored(v["claims"]), settled(v), tables.active_allocations(v["allocations"])
-    kept = Tables(spark)
-    pairs = kept.write(blocking.candidates(c, t, DEFAULT), "pairs")  # once for all policies that retrieve alike
-    best = kept.write(rank(score_candidates(c, t, pairs, DEFAULT)).where("rnk = 1"), "best")  # once for all that score alike; decisions read the first rank
-
-    def run(p):
-        moved = {k for k in p.knobs() if getattr(p, k) != getattr(DEFAULT, k)}
-        return decide(v["claims"], v["expected"], t, allocs, v["proofs"], p, pairs=None if moved & RETRIEVAL_KNOBS else pairs, ranked=best if moved <= DECISION_KNOBS else None)
-
-    return sweep.sensitivity(sweep.sweep(run))
+    return sweep.sensitivity(sweep.sweep_all(v["claims"], v["expected"], settled(v), tables.active_allocations(v["allocations"]), v["proofs"]))
+
+
+#: The grids of the knobs that rules and their context alone read, as rows of whole policies.
+CORE_GRIDS = {k: sweep.GRIDS[k] for k in sorted(DECISION_KNOBS)}
+
+
+def _policy_rows() -> str:
+    fields = sorted(DECISION_KNOBS)
+    rows = [("", 0.0, {})] + [(k, x, {k: x}) for k, values in CORE_GRIDS.items() for x in values]
+    shown = [f"('{k}', {float(x)!r}, {', '.join(repr(float((moved.get(f, getattr(DEFAULT, f))))) for f in fields)})" for k, x, moved in rows]
+    return f"pol AS (SELECT knob, point, {', '.join(f'{f}::DOUBLE AS {f}' for f in fields)} FROM (VALUES {', '.join(shown)}) x (knob, point, {', '.join(fields)})), "
+
+
+def _sweep_sql() -> str:
+    """DECIDE with the columns of a policy in place of its numbers; the first row of pol is the baseline."""
+    changes = [
+        (", al AS (SELECT txn_id", ", " + _policy_rows() + "al AS (SELECT txn_id"),
+        ("coalesce(r.score >= 0.45::DOUBLE, false) AS cmp\n    FROM c LEFT JOIN r", "coalesce(r.score >= pol.tau_reject, false) AS cmp, pol.*\n    FROM c CROSS JOIN pol LEFT JOIN r"),
+        ("margin < 0.1::DOUBLE", "margin < tau_margin"),
+        ("cam - ta >= 5000 AND cam - ta >= ta * 0.01", "cam - ta >= inflation_material_minor AND cam - ta >= ta * inflation_material_pct::DECIMAL(10, 4)"),
+        ("ta - em >= 20000 AND ta - em >= em AS mo", "ta - em >= overpayment_material_minor AND ta - em >= em * overpayment_material_pct::DECIMAL(10, 4) AS mo"),
+        ("cn % 35 = 10 AND sc", "CASE WHEN cn % 35 = 10 THEN 2 ELSE 0 END > tamper_signal_limit AND sc"),
+        ("ind AND sc >= 0.45::DOUBLE", "ind AND sc >= tau_ambiguous"),
+        ("sc < 0.45::DOUBLE", "sc < tau_reject"),
+        ("0.82::DOUBLE", "tau_accept"),
+        ("cn % 45 = 0", "cn % 45 = 0 AND 0.5 < min_field_confidence"),
+    ]
+    sql = DECIDE
+    for old, new in changes:
+        if old not in sql:
+            raise ValueError(old)
+        sql = sql.replace(old, new)
+    # The rules whose own reasons are codes of amounts too.
+    reasons = "WHEN 'R030' THEN ['CLAIM_INFLATED'] WHEN 'R070' THEN ['AMOUNT_UNDERPAID'] WHEN 'R072' THEN ['AMOUNT_OVERPAID_MATERIAL'] WHEN 'R080' THEN ['AMOUNT_OVERPAID']"
+    return (
+        sql
+        + f""", told AS (SELECT *, list_sort(list_distinct(list_concat(CASE fired {reasons} ELSE []::VARCHAR[] END, CASE WHEN cmp THEN [
+            CASE WHEN em IS NULL THEN 'MISSING_ORDER_AMOUNT' WHEN em = ta THEN 'AMOUNT_EXACT' WHEN em > ta THEN 'AMOUNT_UNDERPAID' ELSE 'AMOUNT_OVERPAID' END,
+            CASE WHEN em < ta AND mo THEN 'AMOUNT_OVERPAID_MATERIAL' ELSE 'none' END,
+            CASE WHEN cam IS NULL THEN 'none' WHEN cam = ta THEN 'CLAIM_CONSISTENT' WHEN cam > ta THEN 'CLAIM_INFLATED' ELSE 'CLAIM_DEFLATED' END] ELSE []::VARCHAR[] END))) AS why FROM v),
+        moved AS (SELECT a.knob, a.point, a.tau_reject > a.tau_accept AS refused, a.status <> b.status AS flip, a.fired <> b.fired OR a.why <> b.why AS other
+            FROM told a JOIN told b ON b.knob = '' AND b.claim_id = a.claim_id WHERE a.knob <> '')
+        SELECT knob, point AS value, refused, CASE WHEN refused THEN 0 ELSE count(*) END AS cases, CASE WHEN refused THEN 0 ELSE count_if(flip) END AS status_flips,
+            CASE WHEN refused THEN 0 ELSE count_if(NOT flip AND other) END AS explanation_flips FROM moved GROUP BY knob, point, refused"""
+    )
+
+
+@query(_sweep_sql())
+def policy_sweep_core(spark, sf):
+    """Every value of the knobs of decisions, names off."""
+    v = views(spark, sf)
+    return sweep.sweep_all(v["claims"], v["expected"], settled(v), tables.active_allocations(v["allocations"]), v["proofs"], CORE_GRIDS, names=False)
 
 
 # ---- list views, coverage and the remaining helpers
@@ -553,10 +596,17 @@ def names_cross_check(spark, sf):
     return reports.cross_check(decided_full(spark, sf), decided_core(spark, sf))
 
 
-@query(DECIDE + "SELECT txn_id, 'X' AS problem FROM ledger WHERE 1 = 0 UNION ALL SELECT order_id, 'MISSING' FROM expected WHERE order_id NOT IN (SELECT order_id FROM claims WHERE n % 10 = 0) UNION ALL SELECT 'none', 'none' FROM ledger WHERE 1 = 0".replace("txn_id, 'X'", "txn_id AS order_id, 'X'"))
+@query(
+    duck_ctes("expected", "allocations")
+    + """, h AS (SELECT order_id, count(*) AS k FROM allocations GROUP BY 1)
+SELECT order_id, 'MISSING' AS problem FROM (SELECT DISTINCT order_id FROM expected) w WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.order_id = w.order_id)
+UNION ALL SELECT order_id, 'EXTRA' FROM h WHERE NOT EXISTS (SELECT 1 FROM expected w WHERE w.order_id = h.order_id)
+UNION ALL SELECT order_id, 'DUPLICATE' FROM h WHERE k > 1"""
+)
 def missing_orders(spark, sf):
+    """All expected orders against all allocations: orders without one, unknown ones, those allocated more than once."""
     v = views(spark, sf)
-    return reports.missing_keys(v["expected"], v["claims"].where("n % 10 = 0"), "order_id")
+    return reports.missing_keys(v["expected"], v["allocations"], "order_id")
 
 
 @query(
