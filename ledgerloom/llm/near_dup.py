@@ -39,9 +39,9 @@ BROADCAST_IDS = 500_000
 BLOCK, VERIFY_BLOCK = 512, 64
 #: A band of more members than this is joined by broadcasting its key, lest one task gets it.
 HEAVY = 100_000
-#: While a band of more than LARGE members holds several components, so many rounds compare it with one class more:
-#: they shrink what the blocks must compare, at the price of a dozen jobs each.
-ROUNDS, LARGE = 3, 16_384
+#: While blocks of a band would look at more than ROUND_COST pairs (its odd members times its members), it is compared
+#: with one class more, which costs a pair a member: so many rounds at most. The rest is left to the blocks, which are exact.
+ROUNDS, ROUND_COST = 3, 1 << 27
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, REGISTERS + 1, dtype=np.uint64) * _G
@@ -371,11 +371,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = connected(spark, links)
     left = _open_members(members, found, tables)
     for turn in range(ROUNDS):
-        if not left.where((F.col("size") > LARGE) & (F.col("odds") > 1)).take(1):
+        dear = (F.col("size") * F.col("odds") > ROUND_COST) & (F.col("odds") > 1)
+        if not left.where(dear).take(1):
             break
-        # Each large band is compared with one of its odd members more.
+        # Each dear band is compared with one of its odd members more.
         drawn = F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), F.col("id"), F.col("c")))
-        more = left.where((F.col("size") > LARGE) & F.col("odd")).groupBy(F.col("key").alias("k")).agg(drawn.alias("d")).select("k", F.col("d.id").alias("next"), F.col("d.c").alias("nc"))
+        more = left.where(dear & F.col("odd")).groupBy(F.col("key").alias("k")).agg(drawn.alias("d")).select("k", F.col("d.id").alias("next"), F.col("d.c").alias("nc"))
         more = tables.write(more, "hubs")
         stars = left.join(F.broadcast(more) if more.count() <= BROADCAST_IDS else more, F.col("key") == F.col("k")).where("c <> nc")
         stars = stars.select(F.least("next", "id").alias("a"), F.greatest("next", "id").alias("b")).distinct()

@@ -51,7 +51,7 @@ def test_group_of_siblings(spark, monkeypatch, block, rounds, heavy):
     """Siblings of one text, near the threshold: linked ones and single ones, as brute force has them."""
     monkeypatch.setattr(N, "BLOCK", block)
     monkeypatch.setattr(N, "ROUNDS", rounds)
-    monkeypatch.setattr(N, "LARGE", block)
+    monkeypatch.setattr(N, "ROUND_COST", block)
     monkeypatch.setattr(N, "HEAVY", heavy)
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
