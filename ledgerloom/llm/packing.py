@@ -33,7 +33,7 @@ _encoders: dict[str, UnitEncoder] = {}
 
 #: Words that a worker process keeps, about 200 bytes each. A packing job by itself affords more than
 #: one stage among others that share its workers.
-CACHE_UNITS, CACHE_UNITS_ALONE = 350_000, 1_000_000
+CACHE_UNITS, CACHE_UNITS_ALONE = 100_000, 1_000_000
 
 
 def encoder(path: str, cache_units: int = CACHE_UNITS) -> UnitEncoder:
