@@ -6,7 +6,7 @@ dense key is no join of all with all: each key's rows are a line, numbered in
 the order of time, and a claim meets only the rows whose numbers are next to its
 own; how many lie in its time window is a difference of two numbers. candidates()
 is that, for decisions. retrieve() also tells every kind and counts every pair,
-for which it must list those that a key other than time finds.
+in lines of rows that share a set of keys; it lists the pairs of references alone.
 """
 
 from __future__ import annotations
@@ -228,30 +228,90 @@ def candidates_of(claims: DataFrame, ledger: DataFrame, policies: list[Policy],
     return pairs.withColumn("position", F.row_number().over(order)).where("position <= most").drop("most")
 
 
+def _profiles(keys: DataFrame, id_col: str, side: str) -> DataFrame:
+    """A row for each id that has a name or an amount key: its names, its own amount, and all amounts that it meets."""
+    kind, key = F.col(f"{side}kind"), F.col(f"{side}key")
+    of = lambda *kinds: F.sort_array(F.collect_set(F.when(kind.isin(*kinds), key)))
+    rows = keys.where(kind.isin(4, 5, NAME)).groupBy(id_col, f"{side}m", "at")
+    return rows.agg(of(NAME).alias("names"), F.max(F.when(kind == 4, key)).alias("money"), of(4, 5).alias("moneys"))
+
+
+def _joint_keys(names: Column, moneys: Column) -> Column:
+    """What a row shares with others: every subset of its names, alone and with each of its amounts, without the empty one.
+
+    A key starts with its sign in an inclusion and exclusion: plus if its members
+    are odd in number. names are sorted, so equal subsets have equal keys.
+    """
+    member = lambda k: F.struct((F.lit(1) - k["odd"]).alias("odd"))
+    none = F.array(F.struct(F.lit(0).alias("odd"), F.lit("").alias("key")))
+    also = lambda k, x: F.struct(member(k)["odd"].alias("odd"), F.concat(k["key"], F.lit("&"), x).alias("key"))
+    subsets = F.aggregate(names, none, lambda have, x: F.concat(have, F.transform(have, lambda k: also(k, x))))
+    paid = F.transform(subsets, lambda k: F.transform(moneys, lambda m: F.struct(member(k)["odd"].alias("odd"), F.concat(k["key"], F.lit("#"), m).alias("key"))))
+    every = F.filter(F.concat(subsets, F.flatten(paid)), lambda k: k["key"] != "")
+    return F.transform(every, lambda k: F.concat(F.when(k["odd"] == 1, "+").otherwise("-"), k["key"]))
+
+
+def count_outside(claim_keys: DataFrame, txn_keys: DataFrame, window_s: int, lone: bool) -> DataFrame:
+    """claim_id, outside: how many rows that a name or an amount key of the claim finds are not within the window.
+
+    By inclusion and exclusion over sets of keys: a row with all keys of a set is
+    in the set's line, and the rows of a line within the window are a difference
+    of two numbers. So no pair is listed: a row costs the subsets of its keys (two
+    names of two tokens have eight at most), a claim those that some row has. A row
+    has one amount, so sets with two of them are empty. Rows without a time are outside.
+    """
+    asked_names = claim_keys.where(F.col("ckind") == NAME).select(F.col("ckey").alias("k")).distinct()
+    named = txn_keys.where(F.col("tkind") == NAME).join(asked_names, F.col("tkey") == F.col("k"), "left_semi")
+    t = _profiles(named.unionByName(txn_keys.where(F.col("tkind") == 4)), "txn_id", "t")
+    line = F.concat_ws("|", "j", "m").alias("line")
+    t = t.withColumn("j", F.explode(_joint_keys(F.col("names"), F.col("moneys")))).withColumn("m", F.explode(_lines(F.col("tm"), *(["all"] if lone else []))))
+    rows = t.select(line, F.col("at").alias("t"), F.col("txn_id").alias("id"))
+    c = _profiles(claim_keys, "claim_id", "c")
+    c = c.withColumn("j", F.explode(_joint_keys(F.col("names"), F.col("moneys")))).withColumn("m", F.explode(_asked_lines(F.col("cm"))))
+    sizes = rows.groupBy(F.col("line").alias("sline")).agg(F.count("*").alias("size"))
+    met = c.select("claim_id", "at", line).join(sizes, F.col("line") == F.col("sline")).drop("sline")
+    ends = F.array(F.struct((F.col("at") - window_s).alias("t"), F.lit(0).alias("side"), F.lit("low").alias("what")), F.struct((F.col("at") + window_s).alias("t"), F.lit(2).alias("side"), F.lit("high").alias("what")))
+    points = met.where("at is not null").select("line", F.explode(ends).alias("p"), F.col("claim_id").alias("id")).select("line", "p.t", "p.side", "id", "p.what")
+    asked = met.select(F.col("line").alias("aline")).distinct()
+    placed = _numbered(rows.where("t is not null").join(asked, F.col("line") == F.col("aline"), "left_semi"), points).where("what <> 'row'")
+    sign = F.when(F.left("line", F.lit(1)) == "+", 1).otherwise(-1)
+    inside = placed.select(F.col("id").alias("claim_id"), (sign * F.when(F.col("what") == "high", -F.col("up")).otherwise(F.col("up"))).alias("n"))
+    return met.select("claim_id", (sign * F.col("size")).alias("n")).unionByName(inside).groupBy("claim_id").agg(F.sum("n").alias("outside"))
+
+
 def retrieve(claims: DataFrame, ledger: DataFrame, policy: Policy, names: bool = True) -> DataFrame:
     """claim_id, txn_id, kinds, group_rank, abs_delta, position, examined, truncated: at most max_candidates a claim.
 
     Order: the first kind that found the pair, distance in time to the anchor,
     txn_id. Of the reference kinds only the narrowest is named. examined counts
-    all pairs that any kind finds.
+    all pairs that any kind finds, listing those of references alone. Ledger rows
+    without a time are counted, but candidates by their reference only.
     """
-    by_key = key_hits(*blocking_keys(claims, ledger, policy, {0, 1, 2, 4, 5, NAME} if names else {0, 1, 2, 4, 5}))
-    near = near_hits(*blocking_keys(claims, ledger, policy, {TIME}), policy.time_window_s, policy.max_candidates, any_lone(claims))
-    counts = count_in_band(claims, ledger, policy.time_window_s)
-    inside = F.coalesce(F.col("abs_delta") <= policy.time_window_s, F.lit(False))
+    window, lone = policy.time_window_s, any_lone(claims)
+    claim_keys, txn_keys = blocking_keys(claims, ledger, policy, {0, 1, 2, TIME, 4, 5, NAME} if names else {0, 1, 2, TIME, 4, 5})
+    of = lambda df, side, kinds: df.where(F.col(f"{side}kind").isin(*kinds))
+    refs = key_hits(of(claim_keys, "c", (0, 1, 2)), of(txn_keys, "t", (0, 1, 2)))
+    near = near_hits(of(claim_keys, "c", (TIME, 4, 5, NAME)), of(txn_keys, "t", (TIME, 4, 5, NAME)), window, policy.max_candidates, lone).drop("floor")
     bit = lambda kind: F.call_function("shiftleft", F.lit(1), kind)
-    timed = bit(F.lit(TIME))
-    found = by_key.select("claim_id", "txn_id", bit(F.col("kind")).bitwiseOR(F.when(inside, timed).otherwise(0)).alias("bits"), "abs_delta")
-    found = found.unionByName(near.select("claim_id", "txn_id", timed.alias("bits"), "abs_delta"))
-    pairs = _by_claim(found).groupBy("claim_id", "txn_id").agg(F.bit_or("bits").alias("bits"), F.min("abs_delta").alias("abs_delta"))
-    has = lambda k: F.col("bits").bitwiseAND(bit(F.lit(k))) != 0
-    pairs = pairs.withColumn("group_rank", F.coalesce(*[F.when(has(k), k) for k in range(len(KINDS))]))
-    # Those in the window are counted by rank, whether their rows are here or not.
-    outside = F.sum((~has(TIME)).cast("long")).over(W.partitionBy("claim_id"))
+    pairs = _by_claim(refs.unionByName(near)).groupBy("claim_id", "txn_id").agg(F.bit_or(bit(F.col("kind"))).alias("bits"), F.min("abs_delta").alias("abs_delta"))
+    by_ref = F.col("bits").bitwiseAND(7) != 0
+    first = F.coalesce(*[F.when(F.col("bits").bitwiseAND(1 << k) != 0, k) for k in range(len(KINDS))])
     order = W.partitionBy("claim_id").orderBy("group_rank", "abs_delta", "txn_id")
-    ranked = pairs.select("*", F.row_number().over(order).alias("position"), outside.alias("outside")).where(F.col("position") <= policy.max_candidates)
-    out = ranked.join(counts.withColumnRenamed("claim_id", "cid"), F.col("claim_id") == F.col("cid"), "left")
-    examined = (F.col("outside") + F.coalesce("in_band", F.lit(0))).alias("examined")
-    named = lambda k: F.when(has(k) & (F.col("group_rank") == k) if k <= 2 else has(k), KINDS[k])
+    ranked = pairs.withColumn("group_rank", first).withColumn("position", F.row_number().over(order)).where(by_ref | (F.col("position") <= policy.max_candidates))
+    # A kind that has nearer rows of its own did not bring the pair, but finds it all the same.
+    own = _profiles(claim_keys, "claim_id", "c").select(F.col("claim_id").alias("ci"), F.col("names").alias("cn"), F.col("money").alias("cx"), F.col("moneys").alias("cs"))
+    theirs = _profiles(txn_keys, "txn_id", "t").select(F.col("txn_id").alias("ti"), F.col("names").alias("tn"), F.col("money").alias("tx"))
+    seen = ranked.join(own, F.col("claim_id") == F.col("ci"), "left").join(theirs, F.col("txn_id") == F.col("ti"), "left")
+    exact, met = F.col("cx") == F.col("tx"), F.array_contains("cs", F.col("tx"))
+    says = {TIME: F.col("abs_delta") <= window, 4: exact, 5: met & ~F.coalesce(exact, F.lit(False)), NAME: F.arrays_overlap("cn", "tn")}
+    says |= {k: F.col("bits").bitwiseAND(1 << k) != 0 for k in range(3)}
+    has = {k: F.coalesce(x, F.lit(False)) for k, x in says.items()}
+    alone = by_ref & ~has[TIME] & ~has[4] & ~has[5] & ~has[NAME]
+    seen = seen.withColumn("alone", F.sum(alone.cast("long")).over(W.partitionBy("claim_id"))).where(F.col("position") <= policy.max_candidates)
+    band = count_in_band(claims, ledger, window).withColumnRenamed("claim_id", "bc")
+    outside = count_outside(of(claim_keys, "c", (4, 5, NAME)), of(txn_keys, "t", (4, NAME)), window, lone).withColumnRenamed("claim_id", "oc")
+    out = seen.join(band, F.col("claim_id") == F.col("bc"), "left").join(outside, F.col("claim_id") == F.col("oc"), "left")
+    examined = F.col("alone") + F.coalesce("in_band", F.lit(0)) + F.coalesce("outside", F.lit(0))
+    named = lambda k: F.when(has[k] & (F.col("group_rank") == k) if k <= 2 else has[k], KINDS[k])
     kinds = F.array_compact(F.array(*[named(k) for k in range(len(KINDS))])).alias("kinds")
-    return out.select("claim_id", "txn_id", kinds, "group_rank", "abs_delta", "position", examined, (examined > policy.max_candidates).alias("truncated"))
+    return out.select("claim_id", "txn_id", kinds, "group_rank", "abs_delta", "position", examined.alias("examined"), (examined > policy.max_candidates).alias("truncated"))
