@@ -8,8 +8,9 @@ from pyspark.sql import Window as W
 
 from ..functions.text import join_list, mask_reference
 from ..policy import DEFAULT
+from .aggregates import STATUSES
 from .conflicts import earliest_allocations
-from .decide import rules
+from .decide import Rule, rules
 
 
 def list_view(items: DataFrame, limit: int, status: str | None = None, provider: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -70,6 +71,36 @@ def reason_coverage(decided: DataFrame) -> DataFrame:
     return both.select(F.coalesce("reason", "r").alias("reason"), F.coalesce("rules", F.array().cast("array<string>")).alias("rules"), F.coalesce("claims", F.lit(0)).alias("claims"))
 
 
+#: Reasons that a compared amount and a contradiction add to the rule's own. Fixed values.
+ADDED_REASONS = [
+    "FIELD_CONTRADICTS_MATCH", "AMOUNT_EXACT", "AMOUNT_UNDERPAID", "AMOUNT_OVERPAID", "AMOUNT_OVERPAID_MATERIAL", "MISSING_ORDER_AMOUNT",
+    "CLAIM_CONSISTENT", "CLAIM_INFLATED", "CLAIM_DEFLATED",
+]
+
+
+def coverage(decided: DataFrame, table: list[Rule] | None = None) -> DataFrame:
+    """level (rule, status, reason, total), rule, status, reason, claims, expected: one pass over the decisions.
+
+    What the rule table can give and no claim got is a row of zero claims; what it
+    cannot give is not expected. table: rules of one's own.
+    """
+    table = rules(DEFAULT) if table is None else table
+    rows = decided.select(F.col("fired_rule_id").alias("rule"), "status", F.posexplode_outer("reasons").alias("pos", "reason"))
+    level = F.when(F.grouping("rule") == 0, "rule").when(F.grouping("status") == 0, "status").when(F.grouping("reason") == 0, "reason").otherwise("total")
+    once = F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0)
+    got = rows.groupingSets([["rule", "status"], ["status"], ["reason"], []], "rule", "status", "reason").agg(level.alias("level"), F.when(F.grouping("reason") == 0, F.count("*")).otherwise(once).alias("n"))
+    got = got.where("level <> 'reason' OR reason IS NOT NULL")
+    cells = [("rule", r.id, r.status, None) for r in table] + [("status", None, s, None) for s in STATUSES]
+    cells += [("reason", None, None, x) for x in sorted({x for r in table for x in r.reasons} | set(ADDED_REASONS))] + [("total", None, None, None)]
+    names = ["level", "rule", "status", "reason"]
+    want = decided.sparkSession.createDataFrame(cells, "level string, rule string, status string, reason string").select(*[F.col(c).alias(f"w_{c}") for c in names], F.lit(True).alias("expected"))
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"w_{c}"))
+    both = got.join(want, same, "full")
+    return both.select(*[F.coalesce(c, f"w_{c}").alias(c) for c in names], F.coalesce("n", F.lit(0)).alias("claims"), F.coalesce("expected", F.lit(False)).alias("expected"))
+
+
 def unfired_rules(decided: DataFrame) -> DataFrame:
     spark = decided.sparkSession
     return spark.createDataFrame([(r.id,) for r in rules(DEFAULT)], "rule string").join(decided.select(F.col("fired_rule_id").alias("rule")).distinct(), "rule", "left_anti")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.snapshots import Snapshots
+
 OUTCOMES = {"AGREE": "PASS", "CONTRADICT": "FAIL", "WEAK": "WARNING", "MISSING": "UNKNOWN"}
 
 
@@ -65,3 +67,56 @@ def valid_override(action, new_status) -> F.Column:
 def ingest(transactions: DataFrame) -> DataFrame:
     """Upper-case currency, refused with a reason where the amount is not positive."""
     return transactions.withColumn("currency", F.upper("currency")).withColumn("reject_reason", F.when(F.coalesce(F.col("amount_minor") <= 0, F.lit(True)), "AMOUNT_NOT_POSITIVE"))
+
+
+ALLOCATION = "txn_id string, order_id string, verification_id string, allocated_s long, status string"
+PROOF = "merchant_id string, sha256 string, order_id string, order_ref string, verification_id string, submitted_s long"
+
+
+def approve_into(store: Snapshots, decided: DataFrame) -> int:
+    """approve() against the store's active allocations; batches at the same time yield one winner for each transaction and order.
+
+    decided is read again after a conflict: hand over a written table.
+    """
+
+    def step(version: int) -> dict:
+        active = store.read("allocations", ALLOCATION, version).where("status = 'ACTIVE'")
+        return {"append": {"allocations": approve(decided, active)}}
+
+    return store.update(step)
+
+
+def _one_each(proofs: DataFrame, *key: str) -> DataFrame:
+    """The earliest row of each key; of equal times the least verification, then order, then image."""
+    order = W.partitionBy(*key).orderBy(F.col("submitted_s").asc_nulls_last(), "verification_id", "order_id", "sha256")
+    return proofs.withColumn("i", F.row_number().over(order)).where("i = 1").drop("i")
+
+
+def record_pending(store: Snapshots, proofs: DataFrame) -> int:
+    """proofs (PROOF) wait for approval. A verification recorded again replaces itself."""
+    new = _one_each(proofs.select(*[c.split()[0] for c in PROOF.split(", ")]).where("verification_id is not null and sha256 is not null"), "verification_id")
+
+    def step(version: int) -> dict:
+        old = store.read("pending", PROOF, version)
+        return {"replace": {"pending": old.join(new.select("verification_id"), "verification_id", "left_anti").unionByName(new)}}
+
+    return store.update(step)
+
+
+def approve_pending(store: Snapshots, approvals: DataFrame) -> int:
+    """approvals (verification_id): their pending proofs go to the accepted ones, where the first of a merchant's image stays. Unknown ones move nothing."""
+    wanted = approvals.select("verification_id").distinct()
+
+    def step(version: int) -> dict:
+        pending, accepted = store.read("pending", PROOF, version), store.read("accepted", PROOF, version)
+        moved = _one_each(pending.join(wanted, "verification_id", "left_semi"), "merchant_id", "sha256")
+        known = accepted.select(F.col("merchant_id").alias("m"), F.col("sha256").alias("s"))
+        new = moved.join(known, F.col("merchant_id").eqNullSafe(F.col("m")) & (F.col("sha256") == F.col("s")), "left_anti")
+        return {"append": {"accepted": new}, "replace": {"pending": pending.join(wanted, "verification_id", "left_anti")}}
+
+    return store.update(step)
+
+
+def reset_proofs(store: Snapshots) -> int:
+    """Forgets accepted and pending proofs; allocations stay."""
+    return store.update(lambda version: {"replace": {"accepted": None, "pending": None}})

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..functions import amounts, misc, names, text, times
-from ..operators import aggregates, blocking, conflicts, explain, idf, reports, sweep, workflow
+from ..operators import aggregates, blocking, conflicts, explain, idf, images, reports, sweep, workflow
 from ..operators.decide import DECISION_KNOBS, anchored, decide, rank, score_candidates
 from ..policy import DEFAULT
-from ..sources import tables
+from ..sources import snapshots, tables
 from ..sources.testdata import duck_ctes, views
-from ..storage import Tables
+from ..storage import Tables, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -664,3 +664,58 @@ def field_validity(spark, sf):
 @query(duck_ctes("claims") + " SELECT claim_id, merchant_id, order_id, amount_minor, currency, sender_name, receiver_name, reference_id, occurred_s, proof_sha256 FROM claims")
 def persisted_claims(spark, sf):
     return tables.persisted_claims(views(spark, sf)["claims"])
+
+
+# ---- near images, coverage, proofs in versions
+
+IMAGES = """WITH i AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[(i + 1) % 64 + 1] > embedding[i + 1] THEN 1::HUGEINT << i::HUGEINT ELSE 0::HUGEINT END))::UBIGINT AS h FROM embeddings),
+g AS (SELECT h, min(vec_id) AS id FROM i GROUP BY h)
+"""
+
+
+@query(IMAGES + "SELECT a.id AS image_a, b.id AS image_b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance FROM g a JOIN g b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 16")
+def near_images(spark, sf):
+    """Vectors read as rows of grey values: all pairs whose difference hashes are at most 16 bits apart."""
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", images.difference_hash(F.col("embedding")).alias("h"))
+    return images.near_classes(v, "vec_id", "h", 16, share=3).withColumnsRenamed({"class_a": "image_a", "class_b": "image_b"})
+
+
+@query(
+    DECIDE
+    + """, mentions AS (SELECT claim_id, fired AS rule, status, unnest(list_distinct(list_filter([
+    CASE WHEN con THEN 'FIELD_CONTRADICTS_MATCH' END, CASE WHEN fired = 'R080' THEN 'AMOUNT_OVERPAID' END,
+    CASE fired WHEN 'R010' THEN 'NO_CANDIDATES' WHEN 'R020' THEN 'TXN_ALREADY_ALLOCATED' WHEN 'R025' THEN 'PROOF_REUSED' WHEN 'R030' THEN 'CLAIM_INFLATED' WHEN 'R040' THEN 'TAMPER_OBSERVATIONS' WHEN 'R050' THEN 'AMBIGUOUS_CANDIDATES'
+        WHEN 'R060' THEN 'NAME_MISMATCH' WHEN 'R065' THEN 'SOURCE_PARTIALLY_TRUSTED' WHEN 'R067' THEN 'LOW_EXTRACTION_CONFIDENCE' WHEN 'R070' THEN 'AMOUNT_UNDERPAID' WHEN 'R072' THEN 'AMOUNT_OVERPAID_MATERIAL' WHEN 'R075' THEN 'FIELD_CONTRADICTS_MATCH'
+        WHEN 'R080' THEN 'STRONG_FIELD_AGREEMENT' WHEN 'R090' THEN 'STRONG_FIELD_AGREEMENT' END,
+    CASE WHEN cmp THEN CASE WHEN em IS NULL THEN 'MISSING_ORDER_AMOUNT' WHEN em = ta THEN 'AMOUNT_EXACT' WHEN em > ta THEN 'AMOUNT_UNDERPAID' ELSE 'AMOUNT_OVERPAID' END END, CASE WHEN mo THEN 'AMOUNT_OVERPAID_MATERIAL' END,
+    CASE WHEN cmp AND cam IS NOT NULL THEN CASE WHEN cam = ta THEN 'CLAIM_CONSISTENT' WHEN cam > ta THEN 'CLAIM_INFLATED' ELSE 'CLAIM_DEFLATED' END END], lambda r: r IS NOT NULL))) AS reason FROM v),
+got AS (SELECT 'rule' AS level, fired AS rule, status, NULL AS reason, count(*) AS claims FROM v GROUP BY ALL UNION ALL SELECT 'status', NULL, status, NULL, count(*) FROM v GROUP BY ALL
+    UNION ALL SELECT 'reason', NULL, NULL, reason, count(*) FROM mentions GROUP BY ALL UNION ALL SELECT 'total', NULL, NULL, NULL, count(*) FROM v),
+want AS (SELECT 'rule' AS level, r AS rule, CASE WHEN r IN ('R010', 'R060') THEN 'UNMATCHED' WHEN r IN ('R020', 'R025') THEN 'DUPLICATE' WHEN r IN ('R030', 'R040') THEN 'SUSPICIOUS' WHEN r IN ('R080', 'R090') THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END AS status, NULL AS reason
+        FROM unnest(['R010', 'R020', 'R025', 'R030', 'R040', 'R050', 'R060', 'R065', 'R067', 'R070', 'R072', 'R075', 'R080', 'R090', 'R999']) AS u(r)
+    UNION ALL SELECT 'status', NULL, s, NULL FROM unnest(['SUSPICIOUS', 'DUPLICATE', 'NEEDS_REVIEW', 'UNMATCHED', 'VERIFIED']) AS u(s)
+    UNION ALL SELECT 'reason', NULL, NULL, x FROM unnest(['NO_CANDIDATES', 'TXN_ALREADY_ALLOCATED', 'PROOF_REUSED', 'CLAIM_INFLATED', 'TAMPER_OBSERVATIONS', 'AMBIGUOUS_CANDIDATES', 'NAME_MISMATCH', 'SOURCE_PARTIALLY_TRUSTED', 'LOW_EXTRACTION_CONFIDENCE',
+        'AMOUNT_UNDERPAID', 'AMOUNT_OVERPAID_MATERIAL', 'FIELD_CONTRADICTS_MATCH', 'AMOUNT_OVERPAID', 'STRONG_FIELD_AGREEMENT', 'AMOUNT_EXACT', 'MISSING_ORDER_AMOUNT', 'CLAIM_CONSISTENT', 'CLAIM_DEFLATED']) AS u(x)
+    UNION ALL SELECT 'total', NULL, NULL, NULL)
+SELECT coalesce(g.level, w.level) AS level, coalesce(g.rule, w.rule) AS rule, coalesce(g.status, w.status) AS status, coalesce(g.reason, w.reason) AS reason, coalesce(g.claims, 0) AS claims, w.level IS NOT NULL AS expected
+FROM got g FULL JOIN want w ON g.level = w.level AND g.rule IS NOT DISTINCT FROM w.rule AND g.status IS NOT DISTINCT FROM w.status AND g.reason IS NOT DISTINCT FROM w.reason"""
+)
+def rule_coverage(spark, sf):
+    """Decisions without names by rule, status and reason, with those that no claim got."""
+    return reports.coverage(decided_core(spark, sf))
+
+
+@query(
+    duck_ctes("submissions")
+    + """, s AS (SELECT *, row_number() OVER (PARTITION BY merchant_id, sha256 ORDER BY doc_id % 2, submitted_s, 'V' || CAST(doc_id AS VARCHAR)) AS i FROM submissions WHERE sha256 IS NOT NULL AND doc_id % 5 <> 4)
+SELECT merchant_id, sha256, order_id, 'V' || CAST(doc_id AS VARCHAR) AS verification_id FROM s WHERE i = 1"""
+)
+def proof_memory(spark, sf):
+    """All submissions wait, in two batches; four of five are approved, those of even documents first. The accepted proofs."""
+    s = views(spark, sf)["submissions"].withColumn("verification_id", F.concat(F.lit("V"), F.col("doc_id"))).withColumn("order_ref", F.lit(None).cast("string"))
+    store = snapshots.Snapshots(spark, new_path(spark, "proofs"))
+    for odd in (0, 1):
+        batch = s.where(F.col("doc_id") % 2 == odd)
+        workflow.record_pending(store, batch)
+        workflow.approve_pending(store, batch.where("doc_id % 5 <> 4"))
+    return store.read("accepted", workflow.PROOF).select("merchant_id", "sha256", "order_id", "verification_id")
