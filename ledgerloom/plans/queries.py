@@ -719,3 +719,13 @@ def proof_memory(spark, sf):
         workflow.record_pending(store, batch)
         workflow.approve_pending(store, batch.where("doc_id % 5 <> 4"))
     return store.read("accepted", workflow.PROOF).select("merchant_id", "sha256", "order_id", "verification_id")
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT DISTINCT user_id, ts FROM events WHERE ts IS NOT NULL), p AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id "
+    "UNION ALL SELECT p.user_id, min(e.ts) FROM p JOIN e ON e.user_id IS NOT DISTINCT FROM p.user_id AND e.ts >= p.ts + INTERVAL 6 HOURS GROUP BY p.user_id, p.ts) SELECT user_id, ts FROM p"
+)
+def requests_let_through(spark, sf):
+    """All events as requests of their users, whose keys live for six hours."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.lit("M").alias("merchant_id"), F.col("user_id").alias("key"), "ts")
+    return streaming.unique_requests(e, "6 hours").select(F.col("key").alias("user_id"), "ts")

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from . import expiring
 
 
 def attempts_window(attempts: DataFrame, window: str = "15 minutes", slide: str | None = None, watermark: str | None = "1 hour", most: int = 5) -> DataFrame:
@@ -15,18 +18,29 @@ def attempts_window(attempts: DataFrame, window: str = "15 minutes", slide: str
     return rows.groupBy("order_id", w.alias("w")).agg(F.count("*").alias("attempts")).where(F.col("attempts") > most).select("order_id", F.col("w.start").alias("window_start"), "attempts")
 
 
+def let_through(requests: DataFrame, ttl: str = "24 hours", delay: str = "24 hours") -> DataFrame:
+    """requests: merchant_id, key, ts. merchant_id, key, ts of those whose key let no request through within its time to live before them.
+
+    The time counts from the request that was let through: a repeat does not prolong it. Of equal times one
+    passes, rows without a time none. Batches and streams have the same rows, in whatever order a stream brings
+    them within ``delay``; it gives each once its watermark is past it.
+    """
+    if requests.isStreaming:
+        return expiring.streamed(requests, ttl, delay)
+    return expiring.batched(requests, ttl).select("merchant_id", "key", F.timestamp_micros("us").alias("ts"))
+
+
 def unique_requests(requests: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """requests: merchant_id, key, ts. Those whose key had no request within its time to live before them; of a batch too."""
+    """requests: merchant_id, key, ts. Whole rows of let_through(); of equal times the first in the order of their JSON.
+
+    A stream answers at once, in the order of arrival; let_through() waits for the order of time.
+    """
     if requests.isStreaming:
         return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["merchant_id", "key"])
-    # Sessions would let each repeat prolong the key; here the time counts from the request that was let through.
-    span = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {ttl}"))
-    times = requests.groupBy("merchant_id", "key").agg(F.sort_array(F.collect_list(F.unix_micros("ts"))).alias("all"))
-    start = F.array().cast("array<bigint>")
-    passed = F.aggregate("all", start, lambda s, t: F.when((F.size(s) == 0) | (t - F.element_at(s, -1) >= span), F.concat(s, F.array(t))).otherwise(s))
-    let = times.select(F.col("merchant_id").alias("m"), F.col("key").alias("k"), F.explode(passed).alias("at"))
-    once = requests.dropDuplicates(["merchant_id", "key", "ts"])
-    return once.join(let, F.col("merchant_id").eqNullSafe(F.col("m")) & F.col("key").eqNullSafe(F.col("k")) & (F.unix_micros("ts") == F.col("at")), "left_semi")
+    let = expiring.batched(requests, ttl).select(F.col("merchant_id").alias("m"), F.col("key").alias("k"), F.col("us").alias("at"))
+    same = W.partitionBy("merchant_id", "key", "ts").orderBy(F.to_json(F.struct(*requests.columns)))
+    once = requests.withColumn("i", F.row_number().over(same)).where("i = 1").drop("i")
+    return once.join(let, F.col("merchant_id").eqNullSafe(F.col("m")) & F.col("key").eqNullSafe(F.col("k")) & (F.unix_micros(F.col("ts").cast("timestamp")) == F.col("at")), "left_semi")
 
 
 def await_feed(claims: DataFrame, feed: DataFrame, delay: str = "2 hours") -> DataFrame:
