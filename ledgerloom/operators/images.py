@@ -60,15 +60,16 @@ def near_classes(images: DataFrame, id_col: str, hash_col: str, distance: int, b
     digest = F.lower(hash_col)
     digest = F.when(digest.rlike(f"^[0-9a-f]{{{bits // 4}}}$"), digest).otherwise(F.raise_error(F.concat(F.lit(f"not a hash of {bits} bits: "), digest)))
     classes = images.where(F.col(hash_col).isNotNull()).groupBy(digest.alias("h")).agg(F.min(id_col).alias("class_id"))
-    cut = F.array(*[F.substring("b", a + 1, z - a) for a, z in zip(ends, ends[1:], strict=False)])
-    each = classes.select("class_id", _words(F.col("h"), bits).alias("words"), _bits(F.col("h")).alias("b")).select("class_id", "words", cut.alias("bands"))
-    keys = F.array(*[F.concat_ws(",", *[F.element_at("bands", i + 1) for i in pick]) for pick in chosen])
-    sent = each.select("class_id", "words", "bands", F.posexplode(keys).alias("slot", "key"))
+    band = lambda b, i: F.substring(b, ends[i] + 1, ends[i + 1] - ends[i])
+    each = classes.select("class_id", _words(F.col("h"), bits).alias("words"), _bits(F.col("h")).alias("b"))
+    keys = F.array(*[F.concat(*[band("b", i) for i in pick]) for pick in chosen])
+    sent = each.select("class_id", "words", "b", F.posexplode(keys).alias("slot", "key"))
     l, r = (sent.select(*[F.col(c).alias(f"{side}_{c}") for c in sent.columns]) for side in "lr")
-    met = l.join(r, (F.col("l_slot") == F.col("r_slot")) & (F.col("l_key") == F.col("r_key")) & (F.col("l_class_id") < F.col("r_class_id")))
+    # Spark sizes a table before its keys are laid out, and would broadcast what is many times larger.
+    met = l.join(r.hint("merge"), (F.col("l_slot") == F.col("r_slot")) & (F.col("l_key") == F.col("r_key")) & (F.col("l_class_id") < F.col("r_class_id")))
     apart = F.aggregate(F.zip_with("l_words", "r_words", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     near = met.withColumn("distance", apart).where(F.col("distance") <= distance)
-    alike = F.filter(F.zip_with(F.sequence(F.lit(0), F.lit(bands - 1)), F.zip_with("l_bands", "r_bands", lambda a, b: a == b), lambda i, same: F.when(same, i)), lambda i: i.isNotNull())
+    alike = F.array_compact(F.array(*[F.when(band("l_b", i) == band("r_b", i), i) for i in range(bands)]))
     slots = F.array(*[F.array(*[F.lit(i) for i in pick]) for pick in chosen])
     first = F.slice(alike, 1, share) == F.element_at(slots, F.col("l_slot") + 1)
     return near.where(first).select(F.col("l_class_id").alias("class_a"), F.col("r_class_id").alias("class_b"), "distance")

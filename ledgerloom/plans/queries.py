@@ -673,11 +673,11 @@ g AS (SELECT h, min(vec_id) AS id FROM i GROUP BY h)
 """
 
 
-@query(IMAGES + "SELECT a.id AS image_a, b.id AS image_b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance FROM g a JOIN g b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 16")
+@query(IMAGES + "SELECT a.id AS image_a, b.id AS image_b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance FROM g a JOIN g b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 12")
 def near_images(spark, sf):
-    """Vectors read as rows of grey values: all pairs whose difference hashes are at most 16 bits apart."""
+    """Vectors read as rows of grey values: all pairs whose difference hashes are at most 12 bits apart."""
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", images.difference_hash(F.col("embedding")).alias("h"))
-    return images.near_classes(v, "vec_id", "h", 16, share=3).withColumnsRenamed({"class_a": "image_a", "class_b": "image_b"})
+    return images.near_classes(v, "vec_id", "h", 12, share=3).withColumnsRenamed({"class_a": "image_a", "class_b": "image_b"})
 
 
 @query(
