@@ -289,6 +289,9 @@ def retrieve(claims: DataFrame, ledger: DataFrame, policy: Policy, names: bool =
     """
     window, lone = policy.time_window_s, any_lone(claims)
     claim_keys, txn_keys = blocking_keys(claims, ledger, policy, {0, 1, 2, TIME, 4, 5, NAME} if names else {0, 1, 2, TIME, 4, 5})
+    # Five steps read the keys: from tables, so that no plan holds them five times.
+    store = Tables(claims.sparkSession)
+    claim_keys, txn_keys = store.write(claim_keys, "claim-keys"), store.write(txn_keys, "txn-keys")
     of = lambda df, side, kinds: df.where(F.col(f"{side}kind").isin(*kinds))
     refs = key_hits(of(claim_keys, "c", (0, 1, 2)), of(txn_keys, "t", (0, 1, 2)))
     near = near_hits(of(claim_keys, "c", (TIME, 4, 5, NAME)), of(txn_keys, "t", (TIME, 4, 5, NAME)), window, policy.max_candidates, lone).drop("floor")
