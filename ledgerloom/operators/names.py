@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import name_tokens, phonetic_codes, rarest_two, token_similarity
+from ..functions.names import name_tokens, rarest_two, token_similarity
+from ..functions.phonetics import phonetic_codes
 
 
 def weighed_names(rows: DataFrame, columns: list[str], table: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import amounts, names, text, times
+import plain_phonetics
+from ledgerloom.functions import amounts, names, phonetics, text, times
 from ledgerloom.operators import decide, explain, ladders, sweep
 from ledgerloom.policy import DEFAULT, Policy
 
@@ -116,12 +117,30 @@ def test_masks(spark, claim, truth, want):
     assert tuple(d.select(names.mask_metrics(c, names.name_tokens(c), t, names.name_tokens(t), 0.92).alias("m")).first()["m"]) == want
 
 
-def test_phonetic_codes():
+def test_phonetic_codes(spark):
     """Codes that follow from Philips' rules of 1990 (TH is theta, initial WH is W, GH before T silent) and from NYSIIS."""
     metaphone = {"metaphone": "MTFN", "knight": "NT", "thumb": "0M", "wrack": "RK", "gnome": "NM", "whole": "WL", "judge": "JJ", "science": "SNS", "muhammad": "MHMT", "mohammed": "MHMT", "qureshi": "KRX", "chaudhry": "XTR", "asthma": "ASTM", "": ""}
     nysiis = {"macdonald": "MCDANALD", "knuth": "NAT", "phillipson": "FALAPSAN", "schmidt": "SNAD", "": ""}
-    assert {k: names.metaphone(k) for k in metaphone} == metaphone
-    assert {k: names.nysiis(k) for k in nysiis} == nysiis
+    words = spark.createDataFrame([(w,) for w in {*metaphone, *nysiis}], "w string").select("w", phonetics.metaphone(F.col("w")).alias("m"), phonetics.nysiis(F.col("w")).alias("n")).collect()
+    assert {r.w: r.m for r in words if r.w in metaphone} == metaphone
+    assert {r.w: r.n for r in words if r.w in nysiis} == nysiis
+
+
+def test_phonetic_tables_equal_loops(spark):
+    """Every word of up to three letters that matter, and long random ones, against the rules written as loops."""
+    rng = random.Random(11)
+    letters = "abcdeghiknopqstvwxyz"
+    words = {a + b + c for a in letters for b in letters for c in letters} | {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(0, 12))) for _ in range(2000)}
+    words |= {"".join(rng.choice(["sch", "kn", "ph", "gh", "gn", "ned", "ev", "mac", "tch", "thm", "cia", "dge", "a", "e", "i", "o", "s", "h", "w", "mb", "rt", "ie"]) for _ in range(rng.randint(1, 5))) for _ in range(4000)}
+    d = spark.createDataFrame([(w,) for w in sorted(words)] + [(None,), ("o'neil-x9",)], "w string").repartition(8)
+    got = d.select("w", phonetics.metaphone(F.col("w")).alias("m"), phonetics.nysiis(F.col("w")).alias("n"), phonetics.phonetic_codes(F.col("w")).alias("c")).collect()
+    for r in got:
+        if r.w is None:
+            assert (r.m, r.n, r.c) == (None, None, None)
+            continue
+        m, n = plain_phonetics.metaphone(r.w), plain_phonetics.nysiis(r.w)
+        assert (r.w, r.m, r.n) == (r.w, m, n)
+        assert r.c == [k + x for k, x in (("MP:", m), ("NY:", n)) if x]
 
 
 def test_unicode_stays_in_the_jvm(spark):
