@@ -15,6 +15,7 @@ from ..policy import DEFAULT
 from ..sources import snapshots, tables
 from ..sources.testdata import duck_ctes, views
 from ..storage import Tables, new_path
+from . import named_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -154,7 +155,7 @@ def join_amount_probe(spark, sf):
     return _hits(spark, sf, "AMOUNT_NEIGHBOUR")
 
 
-@query()
+@query(named_sql.recursive(BOTH + named_sql.KEYS + "SELECT claim_id, txn_id FROM (" + named_sql.HITS.replace("{T}", TENANT) + ")"))
 def join_name_key(spark, sf):
     return _hits(spark, sf, "NAME_PHONETIC")
 
@@ -177,7 +178,15 @@ def blocking_union_top25(spark, sf):
     return blocking.retrieve(anchored(v["claims"]), settled(v), DEFAULT, names=False).drop("kinds")
 
 
-@query()
+NAMED_GROUPS = named_sql.groups_with_names(GROUPS, TENANT)
+KIND_NAMES = "[" + ", ".join(f"'{k}'" for k in blocking.KINDS) + "]"
+
+
+@query(
+    named_sql.recursive(BOTH + PROBES + NAMED_GROUPS)
+    + f"""SELECT k.claim_id, k.txn_id, string_agg({KIND_NAMES}[h.kind + 1], '|' ORDER BY h.kind) AS kinds FROM k JOIN (SELECT DISTINCT claim_id, txn_id, kind FROM h) h ON h.claim_id = k.claim_id AND h.txn_id = k.txn_id
+WHERE position <= 25 AND (h.kind > 2 OR h.kind = k.group_rank) GROUP BY ALL"""
+)
 def candidate_provenance(spark, sf):
     v = views(spark, sf)
     return blocking.retrieve(anchored(v["claims"]), settled(v), DEFAULT).select("claim_id", "txn_id", F.array_join("kinds", "|").alias("kinds"))
@@ -205,6 +214,7 @@ r AS (SELECT *, row_number() OVER o AS rnk, coalesce(score - lead(score) OVER o,
     sum(CASE WHEN rc = 'REF_EXACT' THEN 1 ELSE 0 END) OVER (PARTITION BY claim_id) AS ne FROM w WINDOW o AS (PARTITION BY claim_id ORDER BY score DESC, txn_id))
 """.replace("{CC}", CONF.format("cr")).replace("{CT}", CONF.format("tr"))
 CORE = BOTH + PROBES + GROUPS + LADDERS
+NAMED_CORE = named_sql.recursive(BOTH + PROBES + NAMED_GROUPS + named_sql.ladders_with_names(LADDERS))
 
 
 def _ranked(spark, sf, with_names: bool = False) -> DataFrame:
@@ -229,7 +239,7 @@ def ladder_timestamp(spark, sf):
     return _ranked(spark, sf).select("claim_id", "txn_id", F.col("o_timestamp.code").alias("code"), F.col("o_timestamp.score").alias("score"))
 
 
-@query()
+@query(NAMED_CORE + "SELECT claim_id, txn_id, name_code AS code, round(idf_score, 9) AS idf_score FROM w")
 def ladder_name(spark, sf):
     return _ranked(spark, sf, True).select("claim_id", "txn_id", F.col("o_sender_name.code").alias("code"), F.round("m_sender_name.idf_score", 9).alias("idf_score"))
 
