@@ -255,9 +255,7 @@ def rank_margin_whole(spark, sf):
     return _ranked(spark, sf).select("claim_id", "txn_id", "score", F.round("margin", 9).alias("margin"), "dominant", "rnk", "n_candidates")
 
 
-DECIDE = (
-    CORE.replace("WITH ledger AS", duck_ctes("expected", "allocations", "proofs") + ", ledger AS", 1)
-    + """, al AS (SELECT txn_id, arg_min(order_id, (coalesce(allocated_s, -62135596800), order_id, coalesce(verification_id, ''))) AS o FROM allocations WHERE status = 'ACTIVE' GROUP BY 1),
+RULES = """, al AS (SELECT txn_id, arg_min(order_id, (coalesce(allocated_s, -62135596800), order_id, coalesce(verification_id, ''))) AS o FROM allocations WHERE status = 'ACTIVE' GROUP BY 1),
 q AS (SELECT c.claim_id, c.order_id AS oid, c.n AS cn, c.amount_minor AS cam, r.*, e.expected_minor AS em, al.o AS ao, p.sha256 IS NOT NULL AND NOT (p.order_id IS NOT NULL AND c.order_id IS NOT NULL AND p.order_id = c.order_id) AS reused,
     coalesce(r.score, 0.0::DOUBLE) AS sc, coalesce(r.score >= 0.45::DOUBLE, false) AS cmp
     FROM c LEFT JOIN r ON r.claim_id = c.claim_id AND rnk = 1 LEFT JOIN expected e ON e.order_id = c.order_id LEFT JOIN al ON al.txn_id = r.txn_id LEFT JOIN proofs p ON p.sha256 = c.proof_sha256),
@@ -269,7 +267,8 @@ f AS (SELECT *, CASE WHEN txn_id IS NULL THEN 'R010' WHEN ao IS NOT NULL AND (oi
     WHEN sc >= 0.82::DOUBLE AND em - ta > 0 THEN 'R070' WHEN sc >= 0.82::DOUBLE AND mo THEN 'R072' WHEN con THEN 'R075' WHEN sc >= 0.82::DOUBLE AND em - ta < 0 THEN 'R080' WHEN sc >= 0.82::DOUBLE THEN 'R090' ELSE 'R999' END AS fired FROM u),
 v AS (SELECT *, CASE WHEN fired IN ('R010', 'R060') THEN 'UNMATCHED' WHEN fired IN ('R020', 'R025') THEN 'DUPLICATE' WHEN fired IN ('R030', 'R040') THEN 'SUSPICIOUS' WHEN fired IN ('R080', 'R090') THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END AS status FROM f)
 """
-)
+DECIDE = CORE.replace("WITH ledger AS", duck_ctes("expected", "allocations", "proofs") + ", ledger AS", 1) + RULES
+NAMED_DECIDE = NAMED_CORE.replace("WITH RECURSIVE ledger AS", named_sql.recursive(duck_ctes("expected", "allocations", "proofs")) + ", ledger AS", 1) + named_sql.decisions_with_names(RULES)
 
 
 def decided_core(spark, sf) -> DataFrame:
@@ -307,7 +306,7 @@ def history_top(spark, sf):
     return aggregates.history(decided_core(spark, sf)).select("claim_id", "status", "now_s")
 
 
-@query()
+@query(NAMED_DECIDE + f"SELECT claim_id, status, risk, fired AS fired_rule_id, confidence, sc AS best_score, array_to_string(reasons, '|') AS reasons, matched_txn_id, array_to_string(observations, '|') AS observations, violation, '{DEFAULT.fingerprint()}' AS policy_fingerprint FROM dx")
 def decide_full(spark, sf):
     return decided_full(spark, sf).select("claim_id", "status", "risk", "fired_rule_id", "confidence", "best_score", F.array_join("reasons", "|").alias("reasons"), "matched_txn_id", F.array_join("observations", "|").alias("observations"), "violation", "policy_fingerprint")
 
