@@ -311,18 +311,18 @@ def decide_full(spark, sf):
     return decided_full(spark, sf).select("claim_id", "status", "risk", "fired_rule_id", "confidence", "best_score", F.array_join("reasons", "|").alias("reasons"), "matched_txn_id", F.array_join("observations", "|").alias("observations"), "violation", "policy_fingerprint")
 
 
-@query()
+@query(NAMED_DECIDE + named_sql.EVIDENCE + named_sql.ROWS + "SELECT claim_id, field, label, claimed, actual, verdict, level_code, mark FROM er")
 def explain_rows(spark, sf):
     e = explain.explain(decided_full(spark, sf))
     return e.select("claim_id", F.explode("rows").alias("r")).select("claim_id", "r.*")
 
 
-@query()
+@query(NAMED_DECIDE + named_sql.EVIDENCE + named_sql.ROWS + named_sql.WORDS + "SELECT claim_id, headline, summary, action, text FROM ex")
 def summary_text(spark, sf):
     return explain.explain(decided_full(spark, sf)).select("claim_id", "headline", "summary", "action", "text")
 
 
-@query()
+@query(NAMED_DECIDE + named_sql.EVIDENCE + named_sql.ROWS + named_sql.WORDS + named_sql.API)
 def api_results(spark, sf):
     return explain.api_result(decided_full(spark, sf))
 
@@ -488,13 +488,13 @@ def idempotent_replay(spark, sf):
     return workflow.idempotent_submit(r).select("event_id", "outcome")
 
 
-@query()
+@query(NAMED_DECIDE + named_sql.APPROVED)
 def approve_first_wins(spark, sf):
     v = views(spark, sf)
     return workflow.approve(decided_full(spark, sf), tables.active_allocations(v["allocations"]))
 
 
-@query()
+@query(NAMED_DECIDE + named_sql.EVIDENCE + "SELECT claim_id, field, code AS evidence_code, CASE agreement WHEN 'AGREE' THEN 'PASS' WHEN 'CONTRADICT' THEN 'FAIL' WHEN 'WEAK' THEN 'WARNING' ELSE 'UNKNOWN' END AS outcome, score FROM ev")
 def stored_evidence(spark, sf):
     return workflow.stored_evidence(decided_full(spark, sf))
 
@@ -595,12 +595,12 @@ def ranking_duplicates(spark, sf):
     return d.select("claim_id", *[F.array_join(c, "|").alias(c) for c in ("conflicts", "free", "contested")], "best_conflict")
 
 
-@query()
+@query(NAMED_DECIDE + named_sql.COVERED)
 def reason_coverage(spark, sf):
     return reports.reason_coverage(decided_full(spark, sf)).withColumn("rules", F.array_join("rules", "|"))
 
 
-@query()
+@query("SELECT a.status, b.status AS other_status, count(*) AS claims, min(a.claim_id) AS first_claim FROM (" + NAMED_DECIDE + "SELECT claim_id, status FROM dx) a JOIN (" + DECIDE + "SELECT claim_id, status FROM v) b ON a.claim_id = b.claim_id GROUP BY ALL")
 def names_cross_check(spark, sf):
     return reports.cross_check(decided_full(spark, sf), decided_core(spark, sf))
 
