@@ -12,7 +12,7 @@ from ..functions import amounts, misc, names, text, times
 from ..operators import aggregates, blocking, conflicts, explain, idf, images, reports, sweep, workflow
 from ..operators.decide import DECISION_KNOBS, anchored, decide, rank, score_candidates
 from ..policy import DEFAULT
-from ..sources import snapshots, tables
+from ..sources import blobs, snapshots, tables
 from ..sources.testdata import duck_ctes, views
 from ..storage import Tables, new_path
 from . import named_sql
@@ -738,3 +738,18 @@ def requests_let_through(spark, sf):
     """All events as requests of their users, whose keys live for six hours."""
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.lit("M").alias("merchant_id"), F.col("user_id").alias("key"), "ts")
     return streaming.unique_requests(e, "6 hours").select(F.col("key").alias("user_id"), "ts")
+
+
+@query(
+    "WITH b AS (SELECT CAST(text AS BLOB) AS content, 1 AS d, 0 AS p FROM (SELECT encode(text) AS text FROM documents WHERE text IS NOT NULL) UNION ALL SELECT encode(html), 0, 1 FROM pages WHERE html IS NOT NULL) "
+    "SELECT sha256(content) AS sha256, any_value(octet_length(content)) AS bytes, sum(d)::BIGINT AS documents, sum(p)::BIGINT AS pages, any_value(sha256(content)) AS read_back FROM b GROUP BY 1"
+)
+def stored_contents(spark, sf):
+    """Texts and pages as contents by digest, the texts put twice: each once, with the rows that name it and the digest of what is read back."""
+    d, p = spark.read.parquet(f"{sf}/documents.parquet").select("text"), spark.read.parquet(f"{sf}/pages.parquet").select("html")
+    store = snapshots.Snapshots(spark, new_path(spark, "contents"))
+    for rows, column in ((d, "text"), (p, "html"), (d, "text")):
+        blobs.put(store, rows, column)
+    named = d.select(F.sha2("text", 256).alias("k"), F.lit(1).alias("d"), F.lit(0).alias("p")).unionByName(p.select(F.sha2("html", 256).alias("k"), F.lit(0).alias("d"), F.lit(1).alias("p")))
+    counts = named.where("k is not null").groupBy("k").agg(F.sum("d").alias("documents"), F.sum("p").alias("pages"))
+    return blobs.get(store, counts, "k").select(F.col("k").alias("sha256"), "bytes", "documents", "pages", F.sha2("content", 256).alias("read_back"))

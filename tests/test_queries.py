@@ -12,6 +12,7 @@ CHOSEN = [
     "join_amount_probe", "blocking_union_top25", "rank_margin", "decide_core", "amount_semantics", "nav_tally", "earliest_alloc", "alloc_conflict", "proof_conflict",
     "idf_scoring", "parse_amounts", "parse_timestamps", "normalize_phones", "money_display", "normalize_references", "normalize_names", "decay_and_hours",
     "ranking_duplicates", "list_filter", "smart_resize", "extract_claims", "missing_orders", "amount_probes", "jaro_winkler", "extraction_accuracy", "idempotent_replay", "attempts_window", "plateau", "readings_in_utc", "field_validity", "persisted_claims", "category_counts", "policy_sweep_core", "rank_margin_whole", "allocation_problems",
+    "join_name_key", "candidate_provenance", "ladder_name", "decide_full", "approve_first_wins", "api_results", "stored_contents",
 ]
 
 
