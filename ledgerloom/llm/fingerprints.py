@@ -9,6 +9,8 @@ out of the likeness.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ BINS = 1 << BIN_BITS
 #: Probes of the random order that are tried one by one before the rest of it is searched at once.
 PROBES = 6
 _SHIFT = 64 - BIN_BITS
+#: Holds all longs and one number below them.
+ID = "decimal(20,0)"
 
 
 def words(text: Column) -> Column:
@@ -150,14 +154,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     The edited text: the last floor(n_chars / 2) code points replaced by the
     first as many (or all) of the next document's in descending doc_id, after
     the last the first. A null text is empty; a null doc_id comes last. Rows
-    that repeat a doc_id are all returned; as a next document they count as one,
-    with the least of their texts, and so does a null with the least long. One document is its own next. No rows: none.
+    that repeat a doc_id, or have none, are all returned; as a next document
+    they count as one, with the least of their texts. One document is its own next. No rows: none.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
-    least = -(1 << 63)
-    # No doc_id here: both sides of the join below then read one and the same shuffle of the texts.
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), F.col("doc_id").isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text"))
+    none = F.lit(Decimal(-(1 << 63) - 1)).cast(ID)
+    # The id tells a null, as it is below all longs. Id and text alone: both sides of the join below then read one and the same shuffle of the texts.
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long").cast(ID), none).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     # Widths alone first: the ring of ids, and how much of each text its predecessor wants.
     widths = tables.write(base.groupBy("id").agg(F.max(F.length("text")).alias("most"), F.count("*").alias("rows")), "widths")
     repeats = bool(widths.where("rows > 1").take(1))
@@ -171,9 +175,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("head").substr(F.lit(1), half))
-    both = own.drop("half").join(heads, F.col("id") == F.col("hid")).select("id", "none", "prev", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    both = own.drop("half").join(heads, F.col("id") == F.col("hid")).select("id", "prev", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
     made = both.select(
-        "id", "none", "prev", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("efp"),
+        "id", "prev", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("efp"),
         F.when(F.lit(repeats), F.col("text")).alias("order"),
     )
     made = tables.write(made, "fingerprints")
@@ -183,7 +187,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         nexts = made.groupBy("prev").agg(F.min(F.struct("order", "fp")).alias("x")).select(F.col("prev").alias("hid"), F.col("x.fp").alias("next_fp"))
     done = made.join(nexts, F.col("id") == F.col("hid"))
     return done.select(
-        F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
+        F.when(F.col("id") > none, F.col("id").cast("long")).alias("doc_id"), "n_chars", "edited_sha256",
         to_string(F.col("fp")).alias("fingerprint"), to_string(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 from ledgerloom.llm import fingerprints as P
@@ -52,3 +53,46 @@ def test_odd_rows(spark):
     assert P.fingerprint_documents(df.limit(0)).count() == 0
     one = P.fingerprint_documents(df.limit(1)).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+def shuffled(spark, work):
+    """MB that work() writes to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    jvm = spark.sparkContext._jvm
+    empty = jvm.java.util.ArrayList
+
+    def stages():
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(empty(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), empty())
+        found = [found.apply(i) for i in range(found.size())]
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in found}
+
+    before = stages()
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in stages().items() if k not in before) / 1e6
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    """One shuffle of the texts and one of their halves: 1.5 times the texts, not 2.5. Large tables' ids are not broadcast."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.randbytes(8).hex() for _ in range(400))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    text = spark.read.parquet(f"{tmp_path}/documents.parquet").select("text")
+    once = shuffled(spark, lambda: text.repartition(4).foreach(lambda r: None))
+    limits = {x: spark.conf.get(x, None) for x in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for x in limits:
+        spark.conf.set(x, "-1")
+    try:
+        got = shuffled(spark, lambda: P.op5_fingerprints(spark, str(tmp_path)).collect())
+    finally:
+        for x, value in limits.items():
+            spark.conf.set(x, value) if value is not None else spark.conf.unset(x)
+    assert once > 1 and got < 1.9 * once
+
+
+def test_null_and_least_id(spark):
+    """A null doc_id is a document of its own, after the least long."""
+    rows = [(7, "first text of all here"), (-(2**63), "the least long there is"), (None, "no id whatsoever, comes last")]
+    got = {r["doc_id"]: r for r in P.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = edited(rows)
+    assert set(got) == set(want) and all(got[i]["edited_sha256"] == hashlib.sha256(want[i].encode()).hexdigest() for i in want)
