@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import amounts, misc, names, text, times
 from ..operators import aggregates, blocking, conflicts, explain, idf, images, reports, sweep, workflow
-from ..operators.decide import DECISION_KNOBS, anchored, decide, rank, score_candidates
+from ..operators.decide import DECISION_KNOBS, anchored, candidate_pairs, decide, rank, score_candidates
 from ..policy import DEFAULT
 from ..sources import blobs, snapshots, tables
 from ..sources.testdata import duck_ctes, views
@@ -220,8 +220,7 @@ NAMED_CORE = named_sql.recursive(BOTH + PROBES + NAMED_GROUPS + named_sql.ladder
 def _ranked(spark, sf, with_names: bool = False) -> DataFrame:
     v = views(spark, sf)
     c, t = anchored(v["claims"]), settled(v)
-    pairs = blocking.candidates(c, t, DEFAULT, with_names)
-    return rank(score_candidates(c, t, Tables(spark).write(pairs, "pairs") if with_names else pairs, DEFAULT, with_names))
+    return rank(score_candidates(c, t, candidate_pairs(c, t, DEFAULT, with_names), DEFAULT, with_names))
 
 
 @query(CORE + "SELECT claim_id, txn_id, rc AS code, rs AS score FROM x")
