@@ -99,8 +99,8 @@ def summary() -> Column:
     )
 
 
-def explain(decided: DataFrame) -> DataFrame:
-    """claim_id, status, risk, headline, summary, rows, observation_lines, action, text from decide()."""
+def explain(decided: DataFrame, *more: Column) -> DataFrame:
+    """claim_id, status, risk, headline, summary, rows, observation_lines, action, text from decide(). more: further columns over it."""
     named = F.col("matched_txn_id").isNotNull()
     claimed = {"reference": F.coalesce(F.nullif(F.col("reference_id"), F.lit("")), F.lit(ABSENT)), "amount": format_money(F.col("amount_minor")), "timestamp": format_instant(F.col("occurred_s"), F.col("granularity_s")), "sender_name": F.coalesce(F.nullif(F.col("sender_name"), F.lit("")), F.lit(ABSENT))}
     actual = {"reference": F.col("t_reference"), "amount": format_money(F.col("t_amount")), "timestamp": format_instant(F.col("t_at")), "sender_name": F.col("t_sender")}
@@ -114,7 +114,7 @@ def explain(decided: DataFrame) -> DataFrame:
     d = decided.select(
         "claim_id", "status", "risk", "reasons", "matched_txn_id", "fired_rule_id", "confidence", lookup(HEADLINES, F.col("status")).alias("headline"), summary().alias("summary"),
         F.array_compact(F.array(*[row(f) for f in ORDER])).alias("rows"), F.transform("observations", observation_line).alias("observation_lines"),
-        F.when((F.col("status") == "DUPLICATE") & F.array_contains("reasons", "PROOF_REUSED"), REUSED_ACTION).otherwise(lookup(ACTIONS, F.col("status"))).alias("action"),
+        F.when((F.col("status") == "DUPLICATE") & F.array_contains("reasons", "PROOF_REUSED"), REUSED_ACTION).otherwise(lookup(ACTIONS, F.col("status"))).alias("action"), *more,
     )
     amount = F.get(F.filter("rows", lambda r: (r["field"] == "amount") & (r["actual"] != ABSENT)), F.lit(0))
     width = F.greatest(F.length(amount["claimed"]), F.length(amount["actual"]))
@@ -128,7 +128,6 @@ def explain(decided: DataFrame) -> DataFrame:
 
 def api_result(decided: DataFrame) -> DataFrame:
     """claim_id and the result as JSON; degraded if any note says so."""
-    e = explain(decided)
-    degraded = decided.select(F.col("claim_id").alias("c"), F.exists(F.coalesce("notes", F.array().cast("array<string>")), lambda n: n.startswith("degraded:")).alias("degraded"))
-    both = e.join(degraded, F.col("claim_id") == F.col("c")).drop("c")
+    degraded = F.exists(F.coalesce("notes", F.array().cast("array<string>")), lambda n: n.startswith("degraded:")).alias("degraded")
+    both = explain(decided, degraded)
     return both.select("claim_id", F.to_json(F.struct("claim_id", "status", "risk", "confidence", "reasons", "matched_txn_id", "fired_rule_id", "headline", "summary", "rows", "observation_lines", "action", "degraded")).alias("result"))
