@@ -107,3 +107,16 @@ def test_ids_that_repeat_give_a_pair_once(spark):
     for find in (lambda c, t: B.band_hits(c, t, 3600), lambda c, t: B.name_hits(c, t, table)):
         got = [tuple(r) for r in B.once(c, t, find).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_policies_are_dealt_out_after_the_last_shuffle(spark, sf):
+    """Rows of claims times policies are in no exchange before they are counted."""
+    v = Q.views(spark, sf)
+    allocations = Q.tables.active_allocations(v["allocations"])
+    policies = [DEFAULT, DEFAULT.with_(tau_accept=0.6), DEFAULT.with_(tau_margin=0.3)]
+    d = sweep.decide_all(v["claims"], v["expected"], Q.settled(v), allocations, v["proofs"], policies, names=False)
+    text = plan(d.groupBy("claim_id").agg(F.collect_list("status").alias("s")))
+    lines = text.split("\n")
+    dealt = next(i for i, x in enumerate(lines) if "Join Cross" in x)
+    assert not any("Join " in x for x in lines[:dealt])
+    assert d.count() == 3 * v["claims"].count()
